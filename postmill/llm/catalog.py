@@ -1,7 +1,9 @@
 """Registered queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and the SQL of those that SQL can express."""
 
+from .pieces import op5_sentencepiece
+from .quality import OP8_SQL, op8_quality
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op5_sentencepiece": op5_sentencepiece, "op8_quality": op8_quality}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_quality": OP8_SQL}
