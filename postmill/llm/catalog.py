@@ -1,10 +1,11 @@
 """Registered queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and the SQL of those that SQL can express."""
 
 from .exact import OP6_SQL, op6_exact
+from .mixing import op7_mixing
 from .pieces import op5_sentencepiece
 from .quality import OP8_SQL, op8_quality
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_exact": op6_exact, "op8_quality": op8_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op5_sentencepiece": op5_sentencepiece, "op6_exact": op6_exact, "op7_mixing": op7_mixing, "op8_quality": op8_quality}
 
 SQL: dict[str, str] = {"op6_exact": OP6_SQL, "op8_quality": OP8_SQL}
