@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space and words as the operators define them (ASCII only).
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
+#: Rows that a Python helper holds at once.
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,15 +44,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over record batches; fn returns one batch or yields several."""
+    """mapInArrow over slices of at most BATCH_ROWS rows, so that Python objects stay few; fn returns one batch or yields several."""
 
     def run(batches):
         for batch in batches:
-            out = fn(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                out = fn(batch.slice(at, BATCH_ROWS))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 

@@ -6,7 +6,7 @@ keeps a table chunk -> (ids, decoded text) and segments each distinct chunk once
 joined by position. Line feeds that no piece holds begin chunks too. The table belongs to a task: joining it across the cluster would
 shuffle every word with its position, several times the input, to save a segmentation of microseconds per distinct word.
 
-The table is emptied when it reaches TABLE_ROWS chunks, which bounds memory and changes no result. Long chunks are not kept.
+The table is emptied when it reaches TABLE_ROWS chunks (checked every 50 texts), which bounds memory and changes no result. Long chunks are not kept.
 Nulls: a null text counts as empty (begin and end ids only); null and repeated doc_ids stay rows. Extra columns are dropped by
 the query and kept by `encode`.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import by_batch
 
 MARK = "▁"
-TABLE_ROWS, LONG_CHUNK = 400_000, 200
+TABLE_ROWS, LONG_CHUNK = 300_000, 200
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -61,27 +61,27 @@ class ChunkTable:
         """Ids as little-endian 32-bit integers, and the text they decode to, of each chunk."""
         marked = [c[0] == MARK for c in chunks]
         # the library puts the first marker in front itself
-        ids = self.sp.encode([c[1:].replace(MARK, " ") if m else c for c, m in zip(chunks, marked, strict=True)])
+        ids = self.sp.encode([c[1:].replace(MARK, " ") if m else c for c, m in zip(chunks, marked, strict=True)], num_threads=1)
         ids = [([self.mark] if c == MARK else x) if m else x[1:] for c, x, m in zip(chunks, ids, marked, strict=True)]
-        decoded = self.sp.decode([[self.lead, *x] for x in ids])
+        decoded = self.sp.decode([[self.lead, *x] for x in ids], num_threads=1)
         return [(_pack(x), t[1:]) for x, t in zip(ids, decoded, strict=True)]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids with begin and end, decoded text) of each text."""
         (bos,), (eos,) = self.ends
         if not self.exact:
-            ids = self.sp.encode(texts, add_bos=True, add_eos=True)
-            return [(_pack(x), t) for x, t in zip(ids, self.sp.decode(ids), strict=True)]
+            ids = self.sp.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+            return [(_pack(x), t) for x, t in zip(ids, self.sp.decode(ids, num_threads=1), strict=True)]
         head, tail, table, out = _pack([bos]), _pack([eos]), self.table, []
-        for text in texts:
-            chunks = self.split(MARK + text.replace(" ", MARK)) if text else []
-            new = list({c for c in chunks if c not in table})
+        for at in range(0, len(texts), 50):
+            split = [self.split(MARK + text.replace(" ", MARK)) if text else [] for text in texts[at : at + 50]]
+            new = list({c for chunks in split for c in chunks if c not in table})
             extra = {}
-            if new:
-                for c, x in zip(new, self._segment(new), strict=True):
-                    (table if len(c) <= LONG_CHUNK else extra)[c] = x
-            found = [table[c] for c in chunks] if not extra else [extra[c] if c in extra else table[c] for c in chunks]
-            out.append((b"".join([head, *[x[0] for x in found], tail]), "".join([x[1] for x in found])[1:]))
+            for c, x in zip(new, self._segment(new), strict=True):
+                (table if len(c) <= LONG_CHUNK else extra)[c] = x
+            for chunks in split:
+                found = [table[c] for c in chunks] if not extra else [extra[c] if c in extra else table[c] for c in chunks]
+                out.append((b"".join([head, *[x[0] for x in found], tail]), "".join([x[1] for x in found])[1:]))
             if len(table) > TABLE_ROWS:
                 table.clear()
         return out
