@@ -10,9 +10,9 @@ by origin identifier and ordered by number; a block is accepted if numbers run f
 chunked framing is decoded and the payload's digest compared with the header's. A broken record raises an error with its identifier.
 
 Duplicates: of records whose payloads are equal and at least REVISIT_FROM bytes, the one with the smallest page_id is the response, the others are revisits that refer to it.
-Groups are found by digest with partial aggregation; only the digests of groups travel to the join. Nulls: null html is empty, a null
-url an empty one, a null page_id a record with an identifier of its own that no revisit refers to unless all ids of its group are null. Repeated rows are one response each
-only if ids tie below REVISIT_FROM; else those after the first revisit. Extra columns are dropped.
+Groups are found by digest with partial aggregation; a list of groups of at most BROADCAST_GROUPS rows is broadcast, a longer one joined by
+shuffle. Nulls: null html is empty, a null url an empty one; a null page_id is a revisit where its group has an id to refer to, else a response. Rows that
+repeat the smallest page_id of a group are responses too. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_batch, scratch
 
 SEGMENT, CHUNK, REVISIT_FROM, FILE_RECORDS = 32768, 8192, 100, 2000
+#: Rows (digest, page_id) of about 100 bytes that may be broadcast (20 MB).
+BROADCAST_GROUPS = 200_000
 END = b"\r\n\r\n"
 RECORD = "rec string, type string, page string, uri string, refers string, digest string, origin string, number int, total long, block binary"
 
@@ -37,14 +39,12 @@ def classify(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha2("body", 256))
     light = rows.where(F.length("body") >= REVISIT_FROM).select("page_id", "digest")
-    groups = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(groups.select(F.col("digest").alias("d"), "first"), (F.col("digest") == F.col("d")) & (F.length("body") >= REVISIT_FROM), "left")
-    later = joined.where("d is not null")
-    # only rows of groups are ranked; ids tie where a row is repeated
-    again = F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))
-    twin = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) > 1
-    named = later.withColumn("revisit", again | twin).select("page_id", "url", "body", "digest", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
-    return joined.where("d is null").select("page_id", "url", "body", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit")).unionByName(named)
+    groups = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)  # else bodies are shuffled once, by digest
+    joined = rows.join(groups, (F.col("digest") == F.col("d")) & (F.length("body") >= REVISIT_FROM), "left")
+    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    return joined.select("page_id", "url", "body", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def _chunked(body: bytes, size: int = CHUNK) -> bytes:
