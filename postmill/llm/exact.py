@@ -22,7 +22,11 @@ from pyspark.sql import types as T
 
 from .common import SPACE, scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocation, which takes megabytes for each of many small stores.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of a hit list of 40 bytes each that may be broadcast (8 MB); above it the comparison joins by shuffle.
 BROADCAST_HITS = 200_000
 SALTS = 64
@@ -44,18 +48,19 @@ def _best(n: Column, doc_id: Column, row: Column, locator: Column) -> Column:
 def _state(log: str, df: DataFrame) -> DataFrame:
     """(digest, keep_id, keep_row, group_size) from a streaming aggregation over the log, read from its state store."""
     spark = df.sparkSession
-    key, old = "spark.sql.streaming.stateStore.providerClass", None
     place = scratch(spark, "exact-state")
     stream = spark.readStream.schema(df.schema).parquet(log).groupBy("digest").agg(
         F.max(_best(F.col("n"), F.col("doc_id"), F.col("row"), F.col("locator"))).alias("best"), F.count("*").alias("size")
     )
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
         state = spark.read.format("statestore").load(place)
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     best, size = (f"value.`{f.name}`" for f in state.schema["value"].dataType)
     return state.select(F.col("key.digest"), F.bitwise_not(F.col(f"{best}.doc")).alias("keep_id"), F.bitwise_not(F.col(f"{best}.row")).alias("keep_row"), F.col(size).alias("group_size"))
 
