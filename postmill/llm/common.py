@@ -38,6 +38,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of two numbers that may be broadcast (16 MB); longer lists join by shuffle.
+BROADCAST_ROWS = 500_000
+LAST_ID = (1 << 63) - 1
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to a new path in the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows. df is counted, so it should be a written table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def identified(docs: DataFrame, most: int) -> DataFrame:
+    """(doc_id, doc, tid, text) of docs: doc is the id (null: the largest), text is never null, and tid tells rows that share an id apart by text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text"))
+    again = few(table(rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("again")), "ids"), most)
+    tid = F.when(F.col("again").isNotNull(), F.hash("text")).otherwise(F.lit(0))
+    return rows.join(again, rows.doc == F.col("again"), "left").select("doc_id", "doc", tid.alias("tid"), "text")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: lambda bodies would otherwise recompute an inlined expression per element."""
     return F.element_at(F.transform(F.array(value), body), 1)

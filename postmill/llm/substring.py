@@ -24,13 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, scratch, texts
+from .common import BROADCAST_ROWS, by_batch, few, identified, table, texts
 
 WINDOW, BLOCK = 50, 5
 RUN = (WINDOW - BLOCK + 1) // BLOCK
-#: Rows of (doc, text hash) that may be broadcast (12 MB); a longer list of copies joins by shuffle.
-BROADCAST_COPIES = 500_000
-LAST = (1 << 63) - 1
 
 
 def _words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -69,13 +66,13 @@ def anchors(text: bytes, reference: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(docs: DataFrame, reference: bool) -> DataFrame:
     def run(batch):
-        found = [anchors(t, reference) for t in texts(batch.column(1))]
+        found = [anchors(t, reference) for t in texts(batch.column(2))]
         sizes = [len(h) for h, _ in found]
-        doc = np.repeat(batch.column(0).to_numpy(), sizes)
+        doc, tid = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
         h, at = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.record_batch([pa.array(h), pa.array(doc), pa.array(at.astype(np.int32))], names=["h", "doc", "at"])
+        return pa.record_batch([pa.array(h), pa.array(doc), pa.array(tid), pa.array(at.astype(np.int32))], names=["h", "doc", "tid", "at"])
 
-    return by_batch(docs.select("doc", "text"), run, "h long, doc long, at int")
+    return by_batch(docs.select("doc", "tid", "text"), run, "h long, doc long, tid int, at int")
 
 
 def _starts(at: list[int], n: int) -> np.ndarray:
@@ -94,7 +91,7 @@ def _window_rows(marked: DataFrame) -> DataFrame:
         cols = [[] for _ in range(6)]
         for doc, tid, marks, text in zip(*(batch.column(k).to_pylist() for k in range(3)), texts(batch.column(3)), strict=True):
             joined, starts, ends = _words(text)
-            n = len(starts)
+            n, marks = len(starts), [m for m in marks if m["tid"] == tid]
             probe = _starts([m["at"] for m in marks if m["probe"]], n)
             at = np.flatnonzero(probe | _starts([m["at"] for m in marks], n))
             digest = b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)])
@@ -104,48 +101,39 @@ def _window_rows(marked: DataFrame) -> DataFrame:
         kinds = [np.int64, np.int32, np.int64, np.int32, np.int32, bool]
         return pa.record_batch([pa.array(np.concatenate([np.zeros(0, kind), *c]).astype(kind)) for c, kind in zip(cols, kinds, strict=True)], names=["a", "b", "doc", "tid", "at", "probe"])
 
-    return by_batch(marked.select("doc", "tid", "marks", "text"), run, "a long, b int, doc long, tid int, at int, probe boolean")
+    # doc_id is not needed here, but with it both uses of the texts shuffle the same columns, and Spark shuffles them once
+    return by_batch(marked.select("doc", "tid", "marks", "text", "doc_id"), run, "a long, b int, doc long, tid int, at int, probe boolean")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept holds the words left, joined by one space."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("tid"), text.alias("text"))
+    whole = identified(docs, BROADCAST_ROWS)
     named = whole.select("doc", "tid", F.unhex(F.sha2("text", 256)).alias("sha"))
     groups = named.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    path = scratch(spark, "copies")
-    named.join(groups, "sha").where("doc > first").select("doc", "tid").distinct().write.parquet(path)
-    copies = spark.read.parquet(path)
-    if copies.count() <= BROADCAST_COPIES:
-        copies = F.broadcast(copies)
+    copies = few(table(named.join(groups, "sha").where("doc > first").select("doc", "tid").distinct(), "copies"), BROADCAST_ROWS)
     firsts = whole.join(copies, ["doc", "tid"], "left_anti")
 
     index = _anchor_rows(firsts, True).groupBy("h").agg(F.min("doc").alias("least"))
-    path = scratch(spark, "hits")
-    _anchor_rows(firsts, False).join(index, "h").where("least < doc").select("h", "doc", "at").write.parquet(path)
-    hits = spark.read.parquet(path)
+    hits = table(_anchor_rows(firsts, False).join(index, "h").where("least < doc").select("h", "doc", "tid", "at"), "hits")
     hit = _anchor_rows(firsts, True).join(hits.select("h").distinct(), "h", "left_semi")
-    mark = lambda df, probe: df.select("doc", F.struct("at", F.lit(probe).alias("probe")).alias("m"))
-    path = scratch(spark, "marks")
-    mark(hits, True).unionByName(mark(hit, False)).groupBy("doc").agg(F.collect_set("m").alias("marks")).write.parquet(path)
-    marks = spark.read.parquet(path)
-
-    by_doc = whole.join(marks, "doc", "left")  # texts are shuffled once, for the windows and for what is left of them
-    windows = _window_rows(by_doc.where("marks is not null").join(copies, ["doc", "tid"], "left_anti"))
-    shared = windows.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("a", "b", "least")
-    gone = windows.where("probe").join(shared, ["a", "b"]).where("least < doc").groupBy("doc", "tid").agg(F.collect_set("at").alias("gone"))
-    copy = copies.select("doc", "tid", F.lit(True).alias("copy"))
-    judged = by_doc.drop("marks").join(gone, ["doc", "tid"], "left").join(copy, ["doc", "tid"], "left")
+    mark = lambda df, probe: df.select("doc", F.struct("tid", "at", F.lit(probe).alias("probe")).alias("m"))
+    marks = table(mark(hits, True).unionByName(mark(hit, False)).groupBy("doc").agg(F.collect_set("m").alias("marks")), "marks")
+
+    windows = _window_rows(whole.join(marks, "doc"))
+    least = windows.groupBy("a", "b").agg(F.min("doc").alias("least"))
+    gone = windows.where("probe").join(least, ["a", "b"]).where("least < doc").select("doc", F.struct("tid", "at").alias("g"))
+    entire = copies.select("doc", F.struct("tid", F.lit(-1).alias("at")).alias("g"))
+    gone = gone.unionByName(entire).groupBy("doc").agg(F.collect_set("g").alias("gone"))
+    judged = whole.join(gone, "doc", "left").select("doc_id", "tid", "gone", "text")
 
     def finish(batch):
         out = []
-        for doc, gone, copy, text in zip(*(batch.column(k).to_pylist() for k in range(3)), texts(batch.column(3)), strict=True):
+        for doc, tid, gone, text in zip(*(batch.column(k).to_pylist() for k in range(3)), texts(batch.column(3)), strict=True):
             words = text.split()
-            n = len(words)
-            if copy and n >= WINDOW:
+            n, gone = len(words), [g["at"] for g in gone or () if g["tid"] == tid]
+            if -1 in gone and n >= WINDOW:
                 out.append((doc, n, n, b""))
-            elif gone:
+            elif n >= WINDOW and gone:
                 edge = np.zeros(n + 1, np.int32)
                 at = np.asarray(gone, np.int64)
                 edge[at] += 1
@@ -156,7 +144,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((doc, n, 0, b" ".join(words)))
         return pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3].decode() for x in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return by_batch(judged.select("doc_id", "gone", F.coalesce("copy", F.lit(False)).alias("copy"), "text"), finish, "doc_id long, n_words long, n_removed long, kept string")
+    return by_batch(judged, finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op2_substring(spark, sf_dir: str) -> DataFrame:

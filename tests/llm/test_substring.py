@@ -3,12 +3,13 @@ import random
 import pytest
 
 from postmill.llm import substring
+from postmill.llm.common import LAST_ID as substring_last
 
 
 def brute(rows):
     split = [(d, (t or "").encode().split()) for d, t in rows]
     first = {}
-    key = lambda d: substring.LAST if d is None else d
+    key = lambda d: substring_last if d is None else d
     for d, w in split:
         for i in range(len(w) - 49):
             k = tuple(w[i : i + 50])
@@ -51,7 +52,7 @@ def rows(seed=3):
 
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_against_all_windows(spark, monkeypatch, most):
-    monkeypatch.setattr(substring, "BROADCAST_COPIES", most)
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", most)
     data = rows()
     df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, doc string").repartition(3)
     assert sorted([tuple(r) for r in substring.remove_repeats(df).collect()], key=str) == brute(data)
