@@ -28,12 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, scratch, texts
+from .common import BROADCAST_ROWS, by_batch, few, identified, table, texts
 
 LENGTH, CONTEXT, REACH, TRIGGER_BITS = 400, 8, 192, 6
-#: Rows of (doc, text hash) that may be broadcast (12 MB); a longer list of copies joins by shuffle.
-BROADCAST_COPIES = 500_000
-LAST = (1 << 63) - 1
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,22 +112,12 @@ def _suffix_rows(open_: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the bytes left."""
-    spark = docs.sparkSession
-
-    def table(df: DataFrame, name: str) -> DataFrame:
-        path = scratch(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # a row is known by its id (null: the largest) and a hash of its text; rows alike in both count as many times as there are
-    whole = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("tid"), text.alias("text"))
+    # rows alike in id and text count as many times as there are
+    whole = identified(docs, BROADCAST_ROWS)
     digests = whole.where(F.octet_length("text") >= LENGTH).select("doc", "tid", F.unhex(F.sha2("text", 256)).alias("sha"))
     sizes = digests.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc").alias("head")).where("n > 1")
     copies = table(digests.join(sizes, "sha").select("doc", "tid", (F.col("doc") == F.col("head")).alias("head")).distinct(), "copies")
-    others = copies.where("not head").select("doc", "tid")
-    few = copies.count() <= BROADCAST_COPIES
-    others = F.broadcast(others) if few else others
+    others = few(copies.where("not head").select("doc", "tid"), BROADCAST_ROWS)
     # of texts that occur twice or more only the first is parsed: it stands for all, and all of them go whole
     parsed = whole.join(others, ["doc", "tid"], "left_anti")
 

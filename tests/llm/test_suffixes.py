@@ -45,7 +45,7 @@ def rows(seed=5):
 
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_against_all_strings(spark, monkeypatch, most):
-    monkeypatch.setattr(suffixes, "BROADCAST_COPIES", most)
+    monkeypatch.setattr(suffixes, "BROADCAST_ROWS", most)
     data = rows()
     df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, doc string").repartition(3)
     got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect()], key=str)
