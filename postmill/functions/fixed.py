@@ -81,6 +81,7 @@ BLOCKED = (
     r"attention required!|incapsula|perimeterx|cloudflare.{0,40}ray id)"
 )
 BLOCKED_BELOW_CHARS = 2000
+LIVE_REASONS = {"blocked": "page shows a bot challenge or block, not the posting", "closed": "page says the posting is closed/expired/removed", "open": "posting looks open"}
 
 # --- fixed values: dates ---
 AGE_UNITS = {"minute": 0, "hour": 0, "day": 1, "week": 7, "month": 30, "year": 365}

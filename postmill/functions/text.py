@@ -117,9 +117,9 @@ def looks_blocked(visible: Column) -> Column:
 
 def check_liveness(visible: Column) -> Column:
     """(is_live, live_reason): unknown behind a bot wall, false if the page says so, else true."""
-    dead = first_match(visible, fixed.DEAD)
-    reason = F.when(looks_blocked(visible), "blocked").when(dead != "", F.concat(F.lit("closed: "), F.lower(dead))).otherwise("open")
-    return F.struct(F.when(looks_blocked(visible), F.lit(None).cast("boolean")).otherwise(dead == "").alias("is_live"), reason.alias("live_reason"))
+    dead, says = has(visible, fixed.DEAD), fixed.LIVE_REASONS
+    reason = F.when(looks_blocked(visible), says["blocked"]).when(dead, says["closed"]).otherwise(says["open"])
+    return F.struct(F.when(looks_blocked(visible), F.lit(None).cast("boolean")).otherwise(~dead).alias("is_live"), reason.alias("live_reason"))
 
 
 def posting_age_days(posted: Column, as_of: Column) -> Column:
