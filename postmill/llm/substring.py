@@ -37,20 +37,29 @@ def _words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b" ".join(words), np.concatenate(([0], ends[:-1] + 1)) if words else ends, ends
 
 
-def _hashes(joined: bytes, starts, ends) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _blocks(words: list[bytes]) -> np.ndarray:
+    """A hash of each run of BLOCK words, from the hashes of the words."""
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(words) - BLOCK + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(BLOCK):
+        h = h * MULTIPLIER + one[k : k + n]
+    h ^= h >> np.uint64(32)
+    h *= MIXER
+    return h ^ (h >> np.uint64(29))
 
 
 def anchors(text: bytes, reference: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, word positions) of the kept blocks: of the non-overlapping ones, or of every rolling window."""
-    joined, starts, ends = _words(text)
-    n = len(starts)
-    if n < WINDOW:
+    words = text.split()
+    if len(words) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     step, phases = (BLOCK, 1) if reference else (1, BLOCK)
-    at = np.arange(0, n - BLOCK + 1, step)
-    hashes = _hashes(joined, starts[at], ends[at + BLOCK - 1])
+    hashes = _blocks(words)[::step]
+    at = np.arange(len(hashes)) * step
     rows = -(-len(hashes) // phases)
     table = np.full(rows * phases, np.iinfo(np.uint64).max, np.uint64)
     table[: len(hashes)] = hashes
@@ -113,9 +122,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = few(table(named.join(groups, "sha").where("doc > first").select("doc", "tid").distinct(), "copies"), BROADCAST_ROWS)
     firsts = whole.join(copies, ["doc", "tid"], "left_anti")
 
-    index = _anchor_rows(firsts, True).groupBy("h").agg(F.min("doc").alias("least"))
+    refs = table(_anchor_rows(firsts, True), "blocks")
+    index = refs.groupBy("h").agg(F.min("doc").alias("least"))
     hits = table(_anchor_rows(firsts, False).join(index, "h").where("least < doc").select("h", "doc", "tid", "at"), "hits")
-    hit = _anchor_rows(firsts, True).join(hits.select("h").distinct(), "h", "left_semi")
+    hit = refs.join(hits.select("h").distinct(), "h", "left_semi")
     mark = lambda df, probe: df.select("doc", F.struct("tid", "at", F.lit(probe).alias("probe")).alias("m"))
     marks = table(mark(hits, True).unionByName(mark(hit, False)).groupBy("doc").agg(F.collect_set("m").alias("marks")), "marks")
 
