@@ -211,7 +211,7 @@ def _(spark, sf_dir):
 @query("d6_looks_blocked", "SELECT page_id, page_id % 3 = 0 AS blocked FROM pages")
 def _(spark, sf_dir):
     wall = F.lit("<html><head><style>captcha</style></head><body><h1>Verify you are human</h1></body></html>")
-    calm = F.lit("<html><body><script>captcha</script><p>greCaptcha-free recaptcha text</p></body></html>")
+    calm = F.lit("<html><body><script>captcha</script><p>greCaptcha-free challenge text</p></body></html>")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, wall).otherwise(calm).alias("html"))
     return html.pages_to_postings(pages).select(F.col("seq").alias("page_id"), text.looks_blocked(F.col("visible")).alias("blocked"))
 
