@@ -57,6 +57,11 @@ def write_jsonl(ranked: DataFrame, path: str) -> None:
     ranked.orderBy("rank").write.option("ignoreNullFields", False).json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """All records, unordered, unknown fields as null."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
 def digest_top_n(df: DataFrame, top: int = 10, only_new: bool = False) -> DataFrame:
     """(place, seq, line) of the best postings, of new ones alone if asked."""
     pool = df.where("is_new") if only_new else df

@@ -38,6 +38,8 @@ def entries(landed: DataFrame, element: str, at: str | None) -> DataFrame:
     schema = f"array<{element}>" if at is None else f"struct<{at}:array<{element}>>"
     parsed = F.from_json("payload", schema)
     rows = landed.withColumn("all_", parsed if at is None else parsed[at])
+    if at is None:  # a lone object is no list
+        rows = rows.where(F.regexp_like(F.coalesce("payload", F.lit("")), F.lit(r"^\s*\[")))
     return rows.select("*", F.posexplode("all_").alias("pos", "j")).drop("all_", "payload").where("j IS NOT NULL")
 
 

@@ -1 +1 @@
-
+"""Empty on purpose: the job-postings flow is batch state merged from run to run (see operators/state.py); it has no streams."""
