@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, text
 from ..functions.urls import canonicalize_url
+from .tables import shared_path
 
 
 def failed() -> Column:
@@ -55,7 +56,7 @@ def content_fingerprint(df: DataFrame) -> Column:
 
 def mark_reposts(df: DataFrame) -> DataFrame:
     """df with fingerprint and repost_of: the URL of the first posting with this content, where it is another one."""
-    keyed = df.withColumn("fingerprint", content_fingerprint(df))
+    keyed = df if "fingerprint" in df.columns else df.withColumn("fingerprint", content_fingerprint(df))
     firsts = keyed.where("fingerprint IS NOT NULL").groupBy(F.col("fingerprint").alias("f")).agg(F.min_by("url", "seq").alias("first_url"), F.count("*").alias("n")).where("n > 1")
     return keyed.join(firsts, F.col("fingerprint") == F.col("f"), "left").withColumn("repost_of", F.when(F.col("first_url") != F.col("url"), F.col("first_url"))).drop("f", "first_url", "n")
 
@@ -147,6 +148,7 @@ def fuzzy_dedupe(df: DataFrame, threshold: float = fixed.FUZZY_THRESHOLD) -> Dat
     keyed = with_keys(df)
     eligible = ~failed() & (F.col("company_key") != "") & (F.col("title_key") != "")
     rows = keyed.where(eligible)
+    shared_path(df.sparkSession, "")  # so that checkpoints have a folder
     groups = _groups(title_pairs(rows.select("company_key", "title_key", "seq"), threshold))
     named = rows.join(groups, ["company_key", "title_key"], "left").withColumn("title_group", F.coalesce("title_group", "title_key"))
     members = named.groupBy("company_key", "title_group").agg(F.max_by("seq", F.struct(F.coalesce("score", F.lit(-1)), -F.col("seq"))).alias("best"), F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("all"))

@@ -12,6 +12,7 @@ from ..functions import fixed, scoring, text, urls
 from ..functions.scoring import PROFILE
 from ..operators import cards as C
 from ..operators import dedupe, enrich, filters, report, state
+from ..operators.tables import materialise
 from . import oracle
 from .adapters import as_of, pick, postings, table
 from .oracle import CHAIN, board, canon, has, names, q
@@ -35,6 +36,11 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_postings(postings(spark, sf_dir), PROFILE, as_of())
 
 
+def enriched_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched postings without their bodies, written once: linking, ranking and history read them several times."""
+    return materialise(enriched(spark, sf_dir).drop("full_text", "text1", "text2", "sections", "requirements", "responsibilities", "nice_to_have", "other_possibly_relevant"), "enriched")
+
+
 def joined(c, by: str = " | ") -> F.Column:
     return F.coalesce(F.array_join(c, by), F.lit(""))
 
@@ -211,7 +217,7 @@ on_postings("g1_normalize_names", {"company_key": lambda: text.normalize_company
 
 @query("g2_dedupe_results", f"{CHAIN} SELECT seq, score FROM k QUALIFY failed OR company_key = '' OR title_key = '' OR row_number() OVER (PARTITION BY failed, company_key, title_key ORDER BY coalesce(score, -1) DESC, seq) = 1")
 def _(spark, sf_dir):
-    return dedupe.dedupe_results(enriched(spark, sf_dir)).select("seq", "score")
+    return dedupe.dedupe_results(enriched_table(spark, sf_dir)).select("seq", "score")
 
 
 _FP = f"""{CHAIN}, tk AS (SELECT seq, url, company_key, title_key, failed, trim(regexp_replace(regexp_replace(lower(coalesce(location, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS place,
@@ -258,7 +264,7 @@ def _(spark, sf_dir):
 
 @query("g4_fuzzy_dedupe")
 def _(spark, sf_dir):
-    return dedupe.fuzzy_dedupe(enriched(spark, sf_dir)).select("seq", "url", F.size("merged_urls").alias("n_merged"), F.array_join("merged_urls", " ").alias("merged_urls"))
+    return dedupe.fuzzy_dedupe(enriched_table(spark, sf_dir)).select("seq", "url", F.size("merged_urls").alias("n_merged"), F.array_join("merged_urls", " ").alias("merged_urls"))
 
 
 # --- filters ---
@@ -331,8 +337,8 @@ _HIST = f"{CHAIN}, h1 AS (SELECT url, max_by(seq, rank) AS seq, count(*) AS n FR
 
 
 def history(spark, sf_dir) -> DataFrame:
-    ranked = report.rank_postings(enriched(spark, sf_dir))
-    run = ranked.select("url", "rank", "seq", "score", "title", F.col("is_live").cast("int").alias("live"))
+    ranked = report.rank_postings(enriched_table(spark, sf_dir))
+    run = materialise(ranked.select("url", "rank", "seq", "score", "title", F.col("is_live").cast("int").alias("live")), "run")
     empty = spark.createDataFrame([], "url string, rank long, seq long, score int, title string, live int, first_seen timestamp, last_seen timestamp, scrape_count long")
     first = state.merge_history(empty, run.where("seq % 3 <> 0"), f"{BEFORE} 00:00:00")
     return state.merge_history(first, run.where("seq % 3 <> 1"), f"{TODAY} 00:00:00")
@@ -395,7 +401,7 @@ def _(spark, sf_dir):
 
 @query("j4_rank_postings", f"{CHAIN} SELECT rank, seq, title, company, score FROM (SELECT *, row_number() OVER (ORDER BY coalesce(score, -1) DESC, seq) AS rank FROM (SELECT * EXCLUDE (rank) FROM k QUALIFY failed OR company_key = '' OR title_key = '' OR row_number() OVER (PARTITION BY failed, company_key, title_key ORDER BY coalesce(score, -1) DESC, seq) = 1))")
 def _(spark, sf_dir):
-    return report.rank_postings(dedupe.dedupe_results(enriched(spark, sf_dir))).select("rank", "seq", "title", "company", "score")
+    return report.rank_postings(dedupe.dedupe_results(enriched_table(spark, sf_dir))).select("rank", "seq", "title", "company", "score")
 
 
 _ATTEMPTS = f"WITH p AS ({oracle.POSTINGS}), t AS (SELECT {board('url')} AS source, count(*) AS attempted, CAST(sum(seq % 100) AS BIGINT) AS duration_ms FROM p GROUP BY 1), r AS (SELECT {board('url')} AS source, error FROM p WHERE seq % 5 <> 0)"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, enrich, filters, report, state
+from ..operators.tables import materialise
 
 
 def run_pipeline(postings: DataFrame, profile: dict | None, as_of: Column, *, fuzzy: bool = False, least_score: int | None = None, reposts: bool = False, watch: DataFrame | None = None, today: str | None = None, applications: DataFrame | None = None, url_roles: DataFrame | None = None, **given) -> DataFrame:
@@ -13,8 +14,11 @@ def run_pipeline(postings: DataFrame, profile: dict | None, as_of: Column, *, fu
     from ..operators.cards import tag_search_role
 
     first = dedupe.input_dedupe(postings).drop("canonical_url")
-    rows = dedupe.dedupe_results(enrich.enrich_postings(first, profile, as_of))
-    rows = rows.drop("company_key", "title_key")
+    full = enrich.enrich_postings(first, profile, as_of)
+    full = full.withColumn("fingerprint", dedupe.content_fingerprint(full)) if reposts else full
+    # written once, without bodies: the steps below read it several times
+    bodies = ["full_text", "text1", "text2", "sections", "requirements", "responsibilities", "nice_to_have", "other_possibly_relevant"]
+    rows = dedupe.dedupe_results(materialise(full.drop(*bodies), "enriched")).drop("company_key", "title_key")
     if fuzzy:
         rows = dedupe.fuzzy_dedupe(rows).drop("company_key", "title_key")
     rows = rows.where(filters.posting_filter(**given))

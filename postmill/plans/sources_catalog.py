@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scoring import PROFILE
 from ..operators import report
+from ..operators.tables import shared_path
 from ..sources import ats, feeds, html
 from . import oracle
 from .adapters import as_of, postings, table
-from .catalog import enriched, query
+from .catalog import enriched_table, query
 from .pipeline import run_pipeline
 
 P = f"WITH p AS ({oracle.POSTINGS})"
@@ -227,23 +228,11 @@ def _(spark, sf_dir):
 @query("j6_jsonl_rows", f"{oracle.CHAIN} SELECT rank, seq, score FROM k WHERE rank <= 100000000")
 def _(spark, sf_dir):
     """The records that the JSON-lines sink writes, written and read back."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _folder()}/jsonl-{_name()}"
-    report.write_jsonl(report.rank_postings(enriched(spark, sf_dir)).select("rank", "seq", "score", "title"), path)
+    path = shared_path(spark, "jsonl")
+    report.write_jsonl(report.rank_postings(enriched_table(spark, sf_dir)).select("rank", "seq", "score", "title"), path)
     return spark.read.schema("rank long, seq long, score int").json(path)
 
 
-def _folder() -> str:
-    import tempfile
-
-    return f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-
-
-def _name() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 @query("j11_run_pipeline")
 def _(spark, sf_dir):
     out = run_pipeline(postings(spark, sf_dir), PROFILE, as_of(), least_score=45, reposts=True, exclude_keywords="data", max_age=400)
