@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, scratch
+from .common import let, table
 
 WEIGHTS, SHARE, MOST, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 16, "mix"
 BLOCKS = 16**3
@@ -84,13 +84,11 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken, draws) per row of docs; draws: array of (shard, place), one for each time it is taken."""
-    spark, path = docs.sparkSession, scratch(docs.sparkSession, "mix")
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key")).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = table(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key")), "sizes")
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("whole", F.least(F.lit(2), ratio).cast("int"))
-    goals = goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    goals = table(goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "goals")
     same = F.col("source").eqNullSafe(F.col("s"))
     sized = rows.join(goals.withColumnRenamed("source", "s"), same, "left").drop("s").withColumn("block", F.substring("key", 1, 3)).withColumn("large", 50 * F.col("size") > F.col("source_size"))
     # large documents first, each weighed by itself
@@ -109,13 +107,14 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     some = small.where("fill = 'some'").withColumn("extra", F.col("before") + inner + F.col("size") / 2 <= F.col("quota"))
     decided = small.where("fill <> 'some'").withColumn("extra", F.col("fill") == "all")
     keep = ["doc_id", "source", "size", "source_size", "target", "key", "whole", "extra"]
-    taken = large.select(keep).unionByName(decided.select(keep)).unionByName(some.select(keep)).withColumn("copies", F.col("whole") + F.col("extra").cast("int"))
+    taken = table(large.select(keep).unionByName(decided.select(keep)).unionByName(some.select(keep)).withColumn("copies", F.col("whole") + F.col("extra").cast("int")), "taken")
     # block draws of 256 blocks a source: each whole pass draws all of its blocks, the partial pass those it reaches
     passes = taken.withColumn("block", F.substring("key", 1, 2)).groupBy("source", "block").agg(F.max("copies").alias("n"))
     draws = passes.where("n > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pass"))
-    draws = draws.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), "pass", "block"), "block")) - 1)
+    draws = table(draws.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), "pass", "block"), "block")) - 1), "draws")
     split = splitting_tree(draws.groupBy("source").agg(F.count("*").cast("int").alias("n")), shards, seed)
-    ends = split.withColumn("end", F.sum("n").over(Window.partitionBy("source").orderBy("shard"))).groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    # tables between the steps keep each plan, and the driver's memory, small
+    ends = table(split.withColumn("end", F.sum("n").over(Window.partitionBy("source").orderBy("shard"))).groupBy(F.col("source").alias("s")).agg(F.array_sort(F.collect_list("end")).alias("ends")), "ends")
     placed = draws.join(ends, same).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
     shard_of = placed.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
     found = taken.join(shard_of, same & (F.substring("key", 1, 2) == F.col("b")), "left")
