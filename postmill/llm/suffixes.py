@@ -6,14 +6,13 @@ string included, so phrases overlap by that string and no phrase suffix longer t
 Order: what decides whether a string of LENGTH bytes repeats is the order of suffixes down to that depth only, that is which suffixes are equal
 over LENGTH bytes. A suffix starting in a phrase is the phrase's suffix followed by the parse behind it, so the two arrays combine in three steps,
 each a distributed sort-free grouping by fingerprint instead of a global sort:
-1. parse: suffixes of the parse, taken at a trigger, are grouped by their next LENGTH - REACH bytes. A phrase whose group has one member repeats nowhere:
+1. parse: suffixes of the parse, taken at a trigger, are grouped by the bytes around it that all of them hold (LENGTH - NEAR behind it for starts at most NEAR before it). A phrase whose group has one member repeats nowhere:
    this ends it for most text.
-2. dictionary: in the groups left, phrases with their right context are made distinct (128 bits). Where all distinct phrases of a group occur twice or more, every
+2. dictionary: in the groups left, phrases with their right context are made distinct (64 bits beside the 64 of the group). Where all distinct phrases of a group occur twice or more, every
    suffix starting in them repeats.
 3. suffixes of the other distinct phrases of such groups are ranked byte by byte: each is named by the digest of its LENGTH bytes, and counts of
    occurrences are added over equal names.
-Phrases longer than REACH are cut by the distance to their trigger: suffixes REACH to LENGTH bytes before it are grouped by the bytes to their left instead,
-and suffixes that hold no trigger by themselves. Removed is every byte under a repeated suffix.
+Longer phrases are cut by the distance to their trigger, at NEAR and REACH bytes, so that each part has a long key; suffixes that hold no trigger are grouped by themselves. Removed is every byte under a repeated suffix.
 
 One row goes out per phrase, about 2**TRIGGER_BITS bytes of text. Hot passages cost one row per occurrence in step 1 and one per distinct context after it.
 Nulls: a null text is empty; null and repeated doc_ids stay rows, repeated rows repeat each other. Texts under LENGTH bytes lose nothing. Empty
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, by_batch, few, identified, table, texts
 
-LENGTH, CONTEXT, REACH, TRIGGER_BITS = 400, 8, 192, 6
+LENGTH, CONTEXT, NEAR, REACH, TRIGGER_BITS = 400, 8, 80, 192, 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,17 +46,16 @@ def triggers(text: bytes) -> np.ndarray:
 def groups(text: bytes):
     """(group key bytes range, start range) of the suffixes of LENGTH bytes: (kind, key from, key to, first start, last start) as arrays.
 
-    kind 0: starts at most REACH before their trigger, 1: further, 2: without a trigger (a row for each start)."""
+    kind 0: starts at most NEAR before their trigger, 3: at most REACH, 1: further, 2: without a trigger (a row for each start)."""
     last = len(text) - LENGTH
     if last < 0:
         return [np.zeros(0, np.int64)] * 5
     at = triggers(text)
     before = np.concatenate(([-1], at[:-1])) if len(at) else at
     parts = []
-    for kind, low, high in ((0, at - REACH, at), (1, at - (LENGTH - CONTEXT), at - REACH - 1)):
+    for kind, low, high, left, right in ((0, at - NEAR, at, at, at + LENGTH - NEAR), (3, at - REACH, at - NEAR - 1, at - NEAR, at + LENGTH - REACH), (1, at - (LENGTH - CONTEXT), at - REACH - 1, at - REACH, at + CONTEXT)):
         first, final = np.maximum(before + 1, low), np.minimum(high, last)
         keep = np.flatnonzero(first <= final)
-        left, right = (at, at + LENGTH - REACH) if kind == 0 else (at - REACH, at + CONTEXT)
         parts.append([np.full(len(keep), kind), left[keep], right[keep], first[keep], final[keep]])
     # starts whose next trigger lies outside their LENGTH bytes
     low, high = np.concatenate(([0], at + 1)), np.minimum(np.concatenate((at - (LENGTH - CONTEXT) - 1, [last])), last)
@@ -73,8 +71,8 @@ def _pairs(text: bytes, left, right) -> np.ndarray:
 
 
 def _phrase_rows(docs: DataFrame) -> DataFrame:
-    """(short, a, b, doc, tid, first, last): group key, digest of all bytes under the starts, and the starts first to last."""
-    names, kinds = ["short", "a", "b", "doc", "tid", "first", "last"], [np.int64] * 4 + [np.int32] * 3
+    """(short, a, doc, tid, first, last): group key, digest of all bytes under the starts, and the starts first to last."""
+    names, kinds = ["short", "a", "doc", "tid", "first", "last"], [np.int64] * 3 + [np.int32] * 3
 
     def run(batch):
         none = [[np.zeros(0, k)] for k in kinds]
@@ -83,15 +81,15 @@ def _phrase_rows(docs: DataFrame) -> DataFrame:
         for doc, tid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
             kind, left, right, first, last = groups(text)
             short = np.array([digest(text[x:y], k) for k, x, y in zip(kind.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64).view(np.int64)
-            pair, n = _pairs(text, first, last + LENGTH), len(first)
-            for col, value in zip(cols, (short, pair[:, 0], pair[:, 1], np.full(n, doc), np.full(n, tid), first, last), strict=True):
+            whole, n = np.array([digest(text[x:y]) for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64).view(np.int64), len(first)
+            for col, value in zip(cols, (short, whole, np.full(n, doc), np.full(n, tid), first, last), strict=True):
                 col.append(value)
             if len(cols[0]) > 2000 or n > 100_000:
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=names)
                 cols = [list(c) for c in none]
         yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return by_batch(docs.select("doc", "tid", "text"), run, "short long, a long, b long, doc long, tid int, first int, last int")
+    return by_batch(docs.select("doc", "tid", "text"), run, "short long, a long, doc long, tid int, first int, last int")
 
 
 def _suffix_rows(open_: DataFrame) -> DataFrame:
@@ -124,15 +122,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = _phrase_rows(parsed)
     shared = rows.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
     phrases = table(rows.join(shared, "short"), "phrases")
-    dictionary = table(phrases.groupBy("short", "a", "b").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc", "tid", "first", "last")]), "dictionary")
+    dictionary = table(phrases.groupBy("short", "a").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc", "tid", "first", "last")]), "dictionary")
     undecided = dictionary.groupBy("short").agg(F.min("times").alias("rarest")).where("rarest = 1").select("short")
     spans = table(dictionary.join(undecided, "short").groupBy("doc").agg(F.collect_list(F.struct("tid", "first", "last", "times")).alias("spans")), "spans")
 
     suffixes = _suffix_rows(whole.join(spans, "doc"))
     repeated = suffixes.groupBy("x", "y").agg(F.sum("times").alias("n")).where("n > 1").select("x", "y")
     lone = suffixes.where("times = 1").join(repeated, ["x", "y"]).select("doc", "tid", F.col("at").alias("first"), F.col("at").alias("last"))
-    twice = dictionary.where("times > 1").select("short", "a", "b")
-    sure = phrases.join(twice, ["short", "a", "b"]).select("doc", "tid", "first", "last")
+    twice = dictionary.where("times > 1").select("short", "a")
+    sure = phrases.join(twice, ["short", "a"]).select("doc", "tid", "first", "last")
     entire = copies.select("doc", "tid", F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     gone = lone.unionByName(sure).unionByName(entire).groupBy("doc").agg(F.collect_set(F.struct("tid", "first", "last")).alias("gone"))
     judged = whole.join(gone, "doc", "left").select("doc_id", "tid", "gone", "text")
