@@ -12,7 +12,8 @@ each a distributed sort-free grouping by fingerprint instead of a global sort:
    suffix starting in them repeats.
 3. suffixes of the other distinct phrases of such groups are ranked byte by byte: each is named by the digest of its LENGTH bytes, and counts of
    occurrences are added over equal names.
-Longer phrases are cut by the distance to their trigger, at NEAR and REACH bytes, so that each part has a long key; suffixes that hold no trigger are grouped by themselves. Removed is every byte under a repeated suffix.
+Longer phrases are cut by the distance to their trigger, at NEAR and REACH bytes, so that each part has a long key; suffixes that hold no trigger are grouped by themselves,
+those that a text repeats itself (periodic text) within its task. Removed is every byte under a repeated suffix.
 
 One row goes out per phrase, about 2**TRIGGER_BITS bytes of text. Hot passages cost one row per occurrence in step 1 and one per distinct context after it.
 Nulls: a null text is empty; null and repeated doc_ids stay rows, repeated rows repeat each other. Texts under LENGTH bytes lose nothing. Empty
@@ -65,6 +66,19 @@ def groups(text: bytes):
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
+def _digests(text: bytes, left, right) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(text[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)], np.uint64).view(np.int64)
+
+
+def own_repeats(text: bytes) -> np.ndarray:
+    """Starts without a trigger whose LENGTH bytes occur again in the same text: in periodic text there is one at each byte, so these stay in the task."""
+    kind, _, _, first, _ = groups(text)
+    lone = first[kind == 2]
+    _, back, counts = np.unique(_digests(text, lone, lone + LENGTH), return_inverse=True, return_counts=True)
+    return lone[counts[back] > 1]
+
+
 def _pairs(text: bytes, left, right) -> np.ndarray:
     digest = xxhash.xxh3_128_digest
     return np.frombuffer(b"".join([digest(text[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)]), np.int64).reshape(-1, 2)
@@ -81,9 +95,11 @@ def _phrase_rows(docs: DataFrame) -> DataFrame:
         for doc, tid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
             kind, left, right, first, last = groups(text)
             short = np.array([digest(text[x:y], k) for k, x, y in zip(kind.tolist(), left.tolist(), right.tolist(), strict=True)], np.uint64).view(np.int64)
-            whole, n = np.array([digest(text[x:y]) for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64).view(np.int64), len(first)
+            whole, n = _digests(text, first, last + LENGTH), len(first)
+            lone = np.flatnonzero(kind == 2)  # of those alike within a text one goes out, for other texts to meet
+            keep = np.sort(np.concatenate([np.flatnonzero(kind != 2), lone[np.unique(whole[lone], return_index=True)[1]]]))
             for col, value in zip(cols, (short, whole, np.full(n, doc), np.full(n, tid), first, last), strict=True):
-                col.append(value)
+                col.append(value[keep])
             if len(cols[0]) > 2000 or n > 100_000:
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=names)
                 cols = [list(c) for c in none]
@@ -143,9 +159,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             gone = [g for g in gone or () if g["tid"] == tid]
             if any(g["first"] < 0 for g in gone):
                 edge[0] += 1
-            elif gone:
-                np.add.at(edge, [g["first"] for g in gone], 1)
-                np.add.at(edge, np.array([g["last"] for g in gone]) + LENGTH, -1)
+            else:
+                own = own_repeats(text)
+                np.add.at(edge, np.concatenate([own, np.array([g["first"] for g in gone], np.int64)]), 1)
+                np.add.at(edge, np.concatenate([own, np.array([g["last"] for g in gone], np.int64)]) + LENGTH, -1)
             cover = np.cumsum(edge[:-1]) > 0
             runs = int(np.count_nonzero(cover[1:] & ~cover[:-1]) + bool(n and cover[0]))
             left = np.frombuffer(text, np.uint8)[~cover].tobytes() if runs else text
