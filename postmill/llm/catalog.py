@@ -2,7 +2,7 @@
 
 from .chat import OP10_SQL, op10_chat
 from .exact import OP6_SQL, op6_exact
-from .mixing import op7_mixing
+from .mixing import OP7_SQL, op7_mixing
 from .personal import op9_personal
 from .pieces import op5_sentencepiece
 from .quality import OP8_SQL, op8_quality
@@ -14,4 +14,4 @@ from .warc import OP3_SQL, op3_warc
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_substring": op2_substring, "op3_warc": op3_warc, "op4_suffixes": op4_suffixes, "op5_sentencepiece": op5_sentencepiece, "op6_exact": op6_exact, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_personal": op9_personal, "op10_chat": op10_chat}
 
-SQL: dict[str, str] = {"op2_substring": OP2_SQL, "op3_warc": OP3_SQL, "op6_exact": OP6_SQL, "op8_quality": OP8_SQL, "op10_chat": OP10_SQL}
+SQL: dict[str, str] = {"op2_substring": OP2_SQL, "op3_warc": OP3_SQL, "op6_exact": OP6_SQL, "op7_mixing": OP7_SQL, "op8_quality": OP8_SQL, "op10_chat": OP10_SQL}

@@ -131,3 +131,18 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos_ FROM d GROUP BY source),
+r AS (SELECT *, [5, 2, 1][pos_ % 3 + 1] AS w, CAST(2 * source_size AS DOUBLE) AS cap, CAST({SHARE} AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, pos_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER (ORDER BY cap / w, pos_ ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lvl FROM r),
+t AS (SELECT source, source_size, least(cap, coalesce(w * max(CASE WHEN cap / w > lvl THEN lvl END) OVER (), cap)) AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(2, floor(target / source_size + 1e-12)) AS INT) ELSE 0 END AS whole FROM t),
+x AS (SELECT d.*, source_size, target, whole, greatest(0, target - whole * source_size) AS rest, 50 * size > source_size AS large FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+y AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, large ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(size) OVER (PARTITION BY source, large) AS part_ FROM x),
+z AS (SELECT *, large AND bef + size / 2.0 <= rest * part_ / source_size AS fst FROM y),
+q AS (SELECT *, rest - coalesce(sum(CASE WHEN fst THEN size END) OVER (PARTITION BY source), 0) AS quota FROM z)
+SELECT doc_id, size, source_size, target, CAST((whole + CAST(CASE WHEN large THEN fst ELSE bef + size / 2.0 <= quota END AS INT)) * size AS BIGINT) AS taken FROM q
+"""
