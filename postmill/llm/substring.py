@@ -40,15 +40,19 @@ def _words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
 MULTIPLIER, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _blocks(words: list[bytes]) -> np.ndarray:
-    """A hash of each run of BLOCK words, from the hashes of the words."""
-    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(words) - BLOCK + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(BLOCK):
-        h = h * MULTIPLIER + one[k : k + n]
-    h ^= h >> np.uint64(32)
-    h *= MIXER
+def _rolling(one: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words from the hashes of the words, by halving."""
+    if k == 1:
+        return one
+    half = k // 2
+    h, n = _rolling(one, half), len(one) - 2 * half + 1
+    h = h[:n] * np.uint64(pow(int(MULTIPLIER), half, 1 << 64)) + h[half : half + n]
+    return h if k % 2 == 0 else h[: len(one) - k + 1] * MULTIPLIER + one[k - 1 :]
+
+
+def _runs(words: list[bytes], k: int) -> np.ndarray:
+    h = _rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), k)
+    h = (h ^ (h >> np.uint64(32))) * MIXER
     return h ^ (h >> np.uint64(29))
 
 
@@ -58,7 +62,7 @@ def anchors(text: bytes, reference: bool) -> tuple[np.ndarray, np.ndarray]:
     if len(words) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     step, phases = (BLOCK, 1) if reference else (1, BLOCK)
-    hashes = _blocks(words)[::step]
+    hashes = _runs(words, BLOCK)[::step]
     at = np.arange(len(hashes)) * step
     rows = -(-len(hashes) // phases)
     table = np.full(rows * phases, np.iinfo(np.uint64).max, np.uint64)
@@ -105,6 +109,10 @@ def _window_rows(marked: DataFrame) -> DataFrame:
             at = np.flatnonzero(probe | _starts([m["at"] for m in marks], n))
             digest = b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), strict=True)])
             pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
+            # of equal windows of one text, as periodic texts have by thousands, one goes out: a probe if there is one
+            order = np.argsort(~probe[at], kind="stable")
+            once = order[np.unique(pair[order, 0], return_index=True)[1]]
+            at, pair = at[once], pair[once]
             for col, value in zip(cols, (pair[:, 0], (pair[:, 1] & 0x7FFFFFFF).astype(np.int32), np.full(len(at), doc), np.full(len(at), tid, np.int32), at.astype(np.int32), probe[at]), strict=True):
                 col.append(value)
         kinds = [np.int64, np.int32, np.int64, np.int32, np.int32, bool]
@@ -145,7 +153,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((doc, n, n, b""))
             elif n >= WINDOW and gone:
                 edge = np.zeros(n + 1, np.int32)
-                at = np.asarray(gone, np.int64)
+                runs = _runs(words, WINDOW)
+                at = np.flatnonzero(np.isin(runs, runs[np.asarray(gone, np.int64)]))  # with the text's other windows of these words
                 edge[at] += 1
                 np.add.at(edge, at + WINDOW, -1)
                 left = np.cumsum(edge[:-1]) == 0
