@@ -28,23 +28,29 @@ from .common import by_batch, components, texts
 BLOCKS, DISTANCE, DENSE, SHINGLE = 5, 2, 32, 3
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 (seed 42) of every run of `shingle` lower-cased words, as unsigned."""
+def hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of every run of `shingle` lower-cased words; of all words where there are no more; of none, none."""
     words = text.lower().split()  # of bytes: A-Z alone is lowered, ASCII white space alone splits
     if not words:
-        return 0
+        return []
     joined, n, digest = b" ".join(words), len(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return [digest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority bits of the XXH64 (seed 42) of every run of `shingle` lower-cased words, as unsigned."""
+    found = hashes(text, shingle)
+    if not found:
+        return 0
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at : at + 65536], np.uint64)
+    for at in range(0, len(found), 65536):
+        part = np.array(found[at : at + 65536], np.uint64)
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
