@@ -82,17 +82,20 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
     return node.select(F.col("node").alias("shard"), F.explode("q").alias("x")).select("x.source", "shard", "x.n")
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken, draws) per row of docs; draws: array of (shard, place), one for each time it is taken."""
+def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, row: Column | None = None) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken, draws) per row of docs; draws: array of (shard, place), one for each time it is taken.
+
+    row: a value that tells apart rows of one id, which it orders; it comes first among the columns then, as `row`."""
+    own = [] if row is None else ["row"]
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = table(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key")), "sizes")
+    rows = table(docs.select(*([] if row is None else [row.alias("row")]), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key")), "sizes")
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("whole", F.least(F.lit(2), ratio).cast("int"))
     goals = table(goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "goals")
     same = F.col("source").eqNullSafe(F.col("s"))
     sized = rows.join(goals.withColumnRenamed("source", "s"), same, "left").drop("s").withColumn("block", F.substring("key", 1, 3)).withColumn("large", 50 * F.col("size") > F.col("source_size"))
     # large documents first, each weighed by itself
-    of = Window.partitionBy("source").orderBy("key", "size")
+    of = Window.partitionBy("source").orderBy("key", "size", *own)
     upto = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     large = sized.where("large").withColumn("before", upto(of)).withColumn("all", F.sum("size").over(Window.partitionBy("source")))
     large = large.withColumn("extra", F.col("before") + F.col("size") / 2 <= F.col("rest") * F.col("all") / F.col("source_size"))
@@ -103,10 +106,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     blocks = blocks.withColumn("fill", F.when(F.col("before") + F.col("size") <= F.col("quota"), "all").when(F.col("before") > F.col("quota"), "none").otherwise("some"))
     fills = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "quota", "before", "fill")
     small = sized.where("not large").join(fills, same & (F.col("block") == F.col("b"))).drop("s", "b")
-    inner = upto(Window.partitionBy("source", "block").orderBy("key", "size"))
+    inner = upto(Window.partitionBy("source", "block").orderBy("key", "size", *own))
     some = small.where("fill = 'some'").withColumn("extra", F.col("before") + inner + F.col("size") / 2 <= F.col("quota"))
     decided = small.where("fill <> 'some'").withColumn("extra", F.col("fill") == "all")
-    keep = ["doc_id", "source", "size", "source_size", "target", "key", "whole", "extra"]
+    keep = [*own, "doc_id", "source", "size", "source_size", "target", "key", "whole", "extra"]
     taken = table(large.select(keep).unionByName(decided.select(keep)).unionByName(some.select(keep)).withColumn("copies", F.col("whole") + F.col("extra").cast("int")), "taken")
     # block draws of 256 blocks a source: each whole pass draws all of its blocks, the partial pass those it reaches
     passes = taken.withColumn("block", F.substring("key", 1, 2)).groupBy("source", "block").agg(F.max("copies").alias("n"))
@@ -119,14 +122,23 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     shard_of = placed.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
     found = taken.join(shard_of, same & (F.substring("key", 1, 2) == F.col("b")), "left")
     place = lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed), s, i, "key").alias("place"))
-    return found.select("doc_id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.transform(F.slice("shards", 1, F.col("copies")), place)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")).alias("draws"))
+    return found.select(*own, "doc_id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.transform(F.slice("shards", 1, F.col("copies")), place)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")).alias("draws"))
+
+
+def _row_key() -> Column:
+    """Digest of id, source and text, nulls apart from empty values."""
+    part = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    ends = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.length(part("source")).cast("string"))
+    return F.unhex(F.sha2(F.concat(ends, F.lit(":"), part("source"), part("text")), 256))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """Rows of docs as the mix takes them, repeated where it repeats them, in columns of docs. doc_id identifies a row."""
-    drawn = mix(docs).select(F.col("doc_id").alias("id_"), F.explode("draws").alias("draw_"))
-    whole = docs.select(F.struct("*").alias("d"), F.col("doc_id").cast("long").alias("id"))
-    return whole.join(drawn, F.col("id").eqNullSafe(F.col("id_"))).select("d.*")
+    """Rows of docs as the mix takes them, repeated where it repeats them, in columns of docs. Each row has its own draws, whether ids repeat or are null."""
+    drawn = mix(docs, row=_row_key()).groupBy("row").agg(F.array_sort(F.collect_list("draws")).alias("draws_"))
+    whole = docs.select(F.struct("*").alias("d"), _row_key().alias("row"))
+    # rows equal in id, source and text take one element each
+    at = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("d")))
+    return whole.join(drawn, "row").withColumn("at", at).select("d", F.explode(F.element_at("draws_", F.col("at"))).alias("draw_")).select("d.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

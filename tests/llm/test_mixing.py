@@ -79,3 +79,16 @@ def test_edges(spark):
     out = mixing.mixed_rows(docs)
     counts = {r.doc_id: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert out.columns == docs.columns and counts == {r.doc_id: len(r.draws) for r in mixing.mix(docs).collect() if r.draws}
+
+
+def test_mixed_rows_with_null_and_repeated_ids(spark):
+    data = [(None if i % 7 == 0 else i // 2, f"{' '.join('w' * (1 + i % 9))} t{i}", "ab"[i % 2] if i % 5 else None, i) for i in range(300)]
+    data += [(5, "same row", "a", 1000)] * 3 + [(6, None, "b", 1001), (6, "", "b", 1002)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n long")
+    want = Counter()
+    for r in mixing.mix(df, row=mixing._row_key()).collect():
+        want[bytes(r.row)] += len(r.draws)
+    out = mixing.mixed_rows(df)
+    assert out.columns == df.columns
+    assert Counter(bytes(r.row) for r in out.select(mixing._row_key().alias("row")).collect()) == +want
+    assert len(want) == len({(d, t, s) for d, t, s, _ in data}) and max(Counter(r.n for r in out.collect()).values()) <= 3
