@@ -296,7 +296,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = postings(spark, sf_dir).select("seq", "url")
     lines = df.where("seq % 50 = 3").select(F.concat(F.lit("applied to <"), "url", F.lit("> on Monday")).alias("line"))
-    return filters.check_tracker(df, lines, small_chars=0).select("seq", "tracker_status")
+    return filters.check_tracker(df, lines).select("seq", "tracker_status")
 
 
 # --- state ---

@@ -178,3 +178,14 @@ def test_tracker(spark):
     lines = spark.createDataFrame([("sent to <https://A.com/jobs/1>",), ("also https://a.com/jobs/22",)], "line string")
     status = lambda n: {r.seq: r.tracker_status for r in filters.check_tracker(df, lines, n).collect()}
     assert status(10**6) == {0: "applied", 1: "applied", 2: None} and status(0) == {0: "applied", 1: None, 2: None}
+
+
+def test_tracker_of_any_size_is_searched_whole(spark):
+    held = ["https://a.com/j/1", "https://a.com/j/2", "https://b.com/x", "http://c.com/é/7", "not-a-url", "https://in.com/z"]
+    other = ["https://a.com/j/9", "https://nowhere.com/1", "", None, "a key with no scheme"]
+    df = spark.createDataFrame(list(enumerate(held + other)), "seq long, url string")
+    text = ["https://a.com/j/1,https://a.com/j/2/apply|https://B.com/X.", "see http://c.com/é/78 \U0001f600not-a-url!", "https://r.com/?to=https://in.com/zz", None, "https://a.com/j", "x" * 1_200_000]
+    got = {r.seq: r.tracker_status for r in filters.check_tracker(df, spark.createDataFrame([(t,) for t in text], "line string")).collect()}
+    assert got == {i: "applied" if i < len(held) else None for i in range(len(held + other))}
+    assert filters.check_tracker(df, spark.createDataFrame([], "line string")).where("tracker_status is not null").isEmpty()
+    assert filters.check_tracker(df.limit(0), spark.createDataFrame([("https://a.com",)], "line string")).isEmpty()
