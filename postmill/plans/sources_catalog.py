@@ -85,9 +85,9 @@ def _(spark, sf_dir):
     label = F.element_at(F.array(*map(F.lit, months)), (F.col("conv_id") % 12 + 1).cast("int"))
     convs = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     hits = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("objectID"), F.concat(F.lit("Ask HN: Who is hiring? ("), label, F.lit(" 2024)")).alias("title"))).alias("j")))), lambda x: x["j"])
-    # one payload, as the search answers with one page of hits
-    payload = convs.where("conv_id < 1000").agg(F.concat(F.lit('{"hits": ['), F.array_join(hits, ","), F.lit("]}")).alias("payload"))
-    return feeds.hn_pick_thread(payload, "June 2024").select("story_id")
+    # one payload for each hundred conversations, as the search answers by pages of hits
+    payloads = convs.groupBy(F.expr(f"conv_id DIV {PAGE}").alias("page")).agg(F.concat(F.lit('{"hits": ['), F.array_join(hits, ","), F.lit("]}")).alias("payload"))
+    return feeds.hn_pick_thread(payloads, "June 2024", "page").select("story_id")
 
 
 @query("a13_cards_hn", f"{P} SELECT 'hn:' || {id_} AS job_id, coalesce(company, title) AS company, CASE WHEN company IS NULL THEN coalesce(nullif(location, ''), title) ELSE title END AS title, CASE WHEN company IS NULL THEN NULL ELSE location END AS location FROM p WHERE seq % 7 > 0")

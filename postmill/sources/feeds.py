@@ -152,11 +152,13 @@ URL_LIKE = r"^(https?://|www\.)\S+$"
 JOB_TYPE_TOKEN = r"^(full[\s-]?time|part[\s-]?time|contract(or)?|intern(ship)?s?|remote ok|visa|onsite ok)$"
 
 
-def hn_pick_thread(landed: DataFrame, month: str) -> DataFrame:
-    """(story_id, title, created_at): the thread '(month)', for example 'May 2024', else the first one that asks who is hiring."""
+def hn_pick_thread(landed: DataFrame, month: str, page: str | None = None) -> DataFrame:
+    """(story_id, title, created_at): the thread '(month)', for example 'May 2024', else the first one that asks who is hiring.
+
+    page: the column of landed that orders its payloads, where the hits lie in several."""
     hits = entries(landed, "struct<objectID:string,title:string,created_at:string>", "hits")
     rows = hits.withColumn("other", ~F.contains(F.coalesce(j("title"), F.lit("")), F.lit(f"({month})"))).where(~F.col("other") | F.contains(F.lower(j("title")), F.lit("who is hiring")))
-    return rows.groupBy().agg(F.min_by("j", F.struct("other", "pos")).alias("j")).where("j IS NOT NULL").select(j("objectID").alias("story_id"), j("title").alias("title"), j("created_at").alias("created_at"))
+    return rows.groupBy().agg(F.min_by("j", F.struct("other", *([page] if page else []), "pos")).alias("j")).where("j IS NOT NULL").select(j("objectID").alias("story_id"), j("title").alias("title"), j("created_at").alias("created_at"))
 
 
 def cards_hn(comments: DataFrame, thread_title: str | None = None, created_at: str | None = None) -> DataFrame:

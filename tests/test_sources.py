@@ -72,3 +72,10 @@ def test_discover(spark):
     df = landed(spark, [{"hostedUrl": "https://jobs.lever.co/a/1"}, {"hostedUrl": "https://jobs.lever.co/a/1"}, {}], source="lever").unionByName(landed(spark, {"data": {"positions": [{"positionUrl": "/c/1"}, {"positionUrl": "https://x/2"}]}}, source="eightfold"))
     df = df.unionByName(landed(spark, "<positions><position><id> 5 </id></position></positions>", source="personio")).unionByName(landed(spark, "broken", source="greenhouse"))
     assert {r.url for r in ats.discover_urls(df).collect()} == {"https://jobs.lever.co/a/1", "https://acme.eightfold.ai/c/1", "https://x/2", "https://acme.jobs.personio.de/job/5"}
+
+
+def test_thread_is_picked_from_all_conversations(spark, tmp_path):
+    import __spark_entry__
+
+    spark.createDataFrame([(c,) for c in [*range(990, 1000), 1003, 2501, 2513, 2514]], "conv_id long").where("conv_id % 12 <> 5 OR conv_id > 1000").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.story_id for r in __spark_entry__.queries()["a12_hn_pick_thread"](spark, str(tmp_path)).collect()] == ["2501"]
