@@ -50,7 +50,8 @@ def _rolling(one: np.ndarray, k: int) -> np.ndarray:
     return h if k % 2 == 0 else h[: len(one) - k + 1] * MULTIPLIER + one[k - 1 :]
 
 
-def _runs(words: list[bytes], k: int) -> np.ndarray:
+def rolling_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """64-bit hashes of every run of k words."""
     h = _rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), k)
     h = (h ^ (h >> np.uint64(32))) * MIXER
     return h ^ (h >> np.uint64(29))
@@ -62,7 +63,7 @@ def anchors(text: bytes, reference: bool) -> tuple[np.ndarray, np.ndarray]:
     if len(words) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     step, phases = (BLOCK, 1) if reference else (1, BLOCK)
-    hashes = _runs(words, BLOCK)[::step]
+    hashes = rolling_hashes(words, BLOCK)[::step]
     at = np.arange(len(hashes)) * step
     rows = -(-len(hashes) // phases)
     table = np.full(rows * phases, np.iinfo(np.uint64).max, np.uint64)
@@ -153,7 +154,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((doc, n, n, b""))
             elif n >= WINDOW and gone:
                 edge = np.zeros(n + 1, np.int32)
-                runs = _runs(words, WINDOW)
+                runs = rolling_hashes(words, WINDOW)
                 at = np.flatnonzero(np.isin(runs, runs[np.asarray(gone, np.int64)]))  # with the text's other windows of these words
                 edge[at] += 1
                 np.add.at(edge, at + WINDOW, -1)
