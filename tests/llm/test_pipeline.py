@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline
 from postmill.llm import mixing, pieces
 
-from . import test_quality, test_simhash
+from . import test_quality, test_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,8 +22,8 @@ def test_against_brute_force(spark):
         best.setdefault(re.sub(r"[\x20\x09-\x0d]+", "", r.text), []).append((-len(r.text), r.doc_id))
     stays = {min(v)[1] for v in best.values()}
     single = [r for r in good if r.doc_id in stays]
-    groups = test_simhash.brute([(r.doc_id, r.text) for r in single])
-    left = [r for r in single if groups[r.doc_id][1] == r.doc_id]
+    apart = {d for d, _ in test_similar.brute([(r.doc_id, r.text) for r in single])}
+    left = [r for r in single if r.doc_id in apart]
     taken = {r.doc_id: len(r.draws) for r in mixing.mix(spark.createDataFrame(left)).collect()}
     out = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in out) == Counter({d: n for d, n in taken.items() if n})
