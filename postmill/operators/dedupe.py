@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,25 +72,27 @@ def flag_historical_reposts(df: DataFrame, closed: DataFrame) -> DataFrame:
 # fuzzy titles
 
 
-def _ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
+WORD = re.compile("[a-z0-9]+")
+#: From this length on difflib leaves out frequent characters, and the closed forms below no longer hold.
+JUNK_CHARS = 200
 
 
 def title_similarity(a: str | None, b: str | None) -> float:
-    """Best of three ratios over sorted token sets; a title whose tokens all lie in the other's has 1."""
-    x, y = (sorted({t for t in _tokens(s)}) for s in (a, b))
+    """How alike two titles are, from 0 to 1, by their sets of tokens; 1 if all tokens of one lie in the other.
+
+    The shared tokens in order begin each title written as shared tokens, then the rest. Of a text and a beginning of it the ratio is known from their lengths,
+    so only the two sorted titles are compared by difflib."""
+    x, y = (set(WORD.findall((s or "").lower())) for s in (a, b))
     if not x or not y:
         return 0.0
-    both = [t for t in x if t in y]
-    base = " ".join(both)
-    rest = [" ".join(both + [t for t in mine if t not in other]) for mine, other in ((x, y), (y, x))]
-    return max(_ratio(base, rest[0]), _ratio(base, rest[1]), _ratio(" ".join(x), " ".join(y)))
-
-
-def _tokens(s: str | None) -> list[str]:
-    import re
-
-    return re.findall(r"[a-z0-9]+", (s or "").lower())
+    line = lambda tokens: " ".join(sorted(tokens))
+    ratio = lambda p, q: difflib.SequenceMatcher(None, p, q).ratio()
+    shared, titles = line(x & y), [line(x), line(y)]
+    if max(map(len, titles)) < JUNK_CHARS:
+        begins = [2.0 * len(shared) / (len(shared) + len(t)) for t in titles]
+    else:
+        begins = [ratio(shared, " ".join(filter(None, [shared, line(own - (x & y))]))) for own in (x, y)]
+    return max(*begins, ratio(*titles))
 
 
 @F.pandas_udf(T.DoubleType())

