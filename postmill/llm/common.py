@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,10 +19,12 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. A session that names none gets one of its own if it runs in one process (tests), and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -60,7 +63,7 @@ def identified(docs: DataFrame, most: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("text"))
     again = few(table(rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("again")), "ids"), most)
-    tid = F.when(F.col("again").isNotNull(), F.hash("text")).otherwise(F.lit(0))
+    tid = F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     return rows.join(again, rows.doc == F.col("again"), "left").select("doc_id", "doc", tid.alias("tid"), "text")
 
 
