@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from postmill.llm import suffixes
@@ -43,21 +44,33 @@ def rows(seed=5):
     return out + [(300, None), (301, ""), (302, "a" * 3000), (303, "a" * 399), (304, "a" * 500 + "b"), (305, "xyz" * 900), (306, text(300) * 3), (307, text(450) * 2), (None, out[6][1]), (None, passage), (308, "é" * 200), (309, "é" * 200), (310, passage), (310, passage), (310, common)]
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
-def test_against_all_strings(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "many"), [(500_000, suffixes.MANY), (0, 2)])
+def test_against_all_strings(spark, monkeypatch, most, many):
     monkeypatch.setattr(suffixes, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(suffixes, "AT_ONCE", 200)
+    monkeypatch.setattr(suffixes, "PIECE", 5000)
     data = rows()
     df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, doc string").repartition(3)
-    got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect()], key=str)
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, many).collect()], key=str)
     assert got == brute(data)
 
 
 def test_groups_cover_every_start_once():
     rng = random.Random(1)
-    for text in (bytes(rng.randrange(256) for _ in range(5000)), b"q" * 2000, b"\x00" * 900, b"ab" * 400):
-        _, _, _, first, last = suffixes.groups(text)
-        starts = sorted(i for a, b in zip(first.tolist(), last.tolist()) for i in range(a, b + 1))
-        assert starts == list(range(len(text) - 399))
+    bodies = [bytes(rng.randrange(256) for _ in range(5000)), b"q" * 2000, b"", b"\x00" * 900, b"z" * 399, b"ab" * 400]
+    ends = np.cumsum([0, *map(len, bodies)])
+    text, _, _, _, first, last = suffixes.groups(np.frombuffer(b"".join(bodies), np.uint8), ends)
+    starts = sorted((k, i - ends[k]) for k, a, b in zip(text.tolist(), first.tolist(), last.tolist()) for i in range(a, b + 1))
+    assert starts == [(k, i) for k, x in enumerate(bodies) for i in range(len(x) - 399)]
+
+
+def test_own_repeats():
+    bodies = [b"ab" * 400, bytes(range(256)) * 3, b"q" * 401]
+    ends = np.cumsum([0, *map(len, bodies)])
+    at, text = suffixes.own_repeats(np.frombuffer(b"".join(bodies), np.uint8), ends)
+    for k, x in enumerate(bodies):
+        lone = {int(a - ends[k]) for a, t in zip(at, text) if t == k}
+        assert all(sum(x[i : i + 400] == x[a : a + 400] for i in range(len(x) - 399)) > 1 for a in lone)
 
 
 def test_empty(spark):
