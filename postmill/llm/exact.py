@@ -2,23 +2,25 @@
 
 A first pass reads the texts once and writes a log of (digest, code points, doc_id, row, locator). A Structured Streaming query
 consumes the log; per digest its state, kept in RocksDB without expiry, retains the identifier of the best row so far (most code points,
-then smallest doc_id), its locator (the file it lies in) and the group's size. The state itself is read back as a table. Digests that were hit more
-than once have their whole normalised texts compared, byte for byte; texts that share a digest but differ are grouped by the text instead.
+then smallest doc_id, then the earliest), the locator of the first row (the file it lies in) and the group's size. Later batches are given the same folder: the query goes
+on from its checkpoint, reads the new part of the log alone, and finds the digests of all batches before.
+
+The state is read back as a table. Digests that were hit more than once have their whole normalised texts compared, byte for byte: those of the batch, and the first text of earlier batches, for which the
+locators name the files to reread. Texts that share a digest but differ are grouped by the text's SHA-256 instead, over the whole log.
 
 Hot groups: the state update combines within tasks first, and the comparison takes least and greatest text by (digest, salt) before
 digest, so that a group of copies never meets in one task and needs no pairs.
 
 Nulls: a null text counts as empty. A null doc_id comes last among equals. Of repeated rows one stays. Empty tables give no rows.
-Extra columns are ignored by `exact_groups`, kept by `drop_copies`.
+Extra columns are ignored by `exact_groups`, kept by `drop_copies`. A later batch can only reread texts of tables in Parquet files with doc_id and text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import SPACE, scratch
 
@@ -40,56 +42,70 @@ def sha(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _best(n: Column, doc_id: Column, row: Column, locator: Column) -> Column:
+def _best() -> Column:
     """Greatest for the row that stays; ~x turns the order of longs round without overflow."""
-    return F.struct(n.alias("n"), F.bitwise_not(doc_id).alias("doc"), F.bitwise_not(row).alias("row"), locator.alias("locator"))
-
-
-def _state(log: str, df: DataFrame) -> DataFrame:
-    """(digest, keep_id, keep_row, group_size) from a streaming aggregation over the log, read from its state store."""
-    spark = df.sparkSession
-    place = scratch(spark, "exact-state")
-    stream = spark.readStream.schema(df.schema).parquet(log).groupBy("digest").agg(
-        F.max(_best(F.col("n"), F.col("doc_id"), F.col("row"), F.col("locator"))).alias("best"), F.count("*").alias("size")
-    )
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
-        stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-        state = spark.read.format("statestore").load(place)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    best, size = (f"value.`{f.name}`" for f in state.schema["value"].dataType)
-    return state.select(F.col("key.digest"), F.bitwise_not(F.col(f"{best}.doc")).alias("keep_id"), F.bitwise_not(F.col(f"{best}.row")).alias("keep_row"), F.col(size).alias("group_size"))
-
-
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha) -> DataFrame:
-    """(doc_id, row, keep_id, group_size, kept, text_sha256) of every row of docs (doc_id, text, ...)."""
+    turned = lambda c: F.bitwise_not(F.col(c).cast("long")).alias(c)
+    return F.max(F.struct("n", turned("doc_id"), turned("batch"), turned("row")))
+
+
+def _kept(best: str) -> list[Column]:
+    """Identifier, batch and row that _best stands for."""
+    return [F.bitwise_not(F.col(f"{best}.{c}")).alias(name) for c, name in (("doc_id", "keep_id"), ("batch", "keep_batch"), ("row", "keep_row"))]
+
+
+LOG = "doc_id long, n long, row long, locator string, digest binary, sha binary"
+
+
+def _state(spark: SparkSession, log: str, place: str) -> DataFrame:
+    """(digest, keep_id, keep_batch, keep_row, first_batch, locator, group_size) from a streaming aggregation over the log, read from its state store."""
+    own = spark.newSession()  # its settings are nobody else's
+    for k, v in (SETTINGS | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
+        own.conf.set(k, v)
+    stream = own.readStream.schema(f"{LOG}, batch long").parquet(log)
+    first = F.min(F.struct(F.col("batch"), F.col("row"), F.col("locator")))
+    groups = stream.groupBy("digest").agg(_best().alias("best"), first.alias("first"), F.count("*").alias("size"))
+    groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    state = own.read.format("statestore").load(place)
+    best, first, size = (f"value.`{f.name}`" for f in state.schema["value"].dataType)
+    path = scratch(spark, "exact-groups")
+    state.select(F.col("key.digest").alias("digest"), *_kept(best), F.col(f"{first}.batch").alias("first_batch"), F.col(f"{first}.locator").alias("locator"), F.col(size).alias("group_size")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha, folder: str | None = None, batch: int = 0) -> DataFrame:
+    """(doc_id, row, keep_id, group_size, kept, text_sha256) of every row of docs (doc_id, text, ...), among these and the rows of earlier batches.
+
+    folder: where log and state are, in the shared folder; batch: 0 for the first of a folder, and one more each time."""
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text"), normalised(F.col("text")).alias("body"))
-    log = scratch(spark, "exact-log")
-    schema = T.StructType().add("doc_id", "long").add("n", "long").add("row", "long").add("locator", "string").add("digest", "binary").add("sha", "binary")
+    folder = folder or scratch(spark, "exact")
+    keyed = lambda df: df.select(F.col("doc_id").cast("long"), F.col("text"), normalised(F.col("text")).alias("body"))
+    text = keyed(docs)
+    part = f"{folder}/log/batch={batch}"
     text.select(
         "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.monotonically_increasing_id().alias("row"),
         F.input_file_name().alias("locator"), digest(F.col("body")).cast("binary").alias("digest"), sha(F.col("body")).alias("sha"),
-    ).write.parquet(log)
-    rows = spark.read.schema(schema).parquet(log)
-    state = _state(log, rows)
+    ).write.parquet(part)
+    rows = spark.read.schema(LOG).parquet(part).withColumn("batch", F.lit(batch).cast("long"))
+    state = _state(spark, f"{folder}/log", f"{folder}/state")
     hits = state.where("group_size > 1").select("digest")
     if hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS:
         hits = F.broadcast(hits)
-    bodies = text.select("doc_id", "body", digest(F.col("body")).cast("binary").alias("digest"))
+    bodies = text.select("doc_id", "body")
+    if batch:
+        met = state.where(F.col("first_batch") < batch).join(rows.select("digest").distinct(), "digest", "left_semi")
+        files = sorted(r.locator for r in met.where("locator <> ''").select("locator").distinct().collect())
+        if files:
+            bodies = bodies.unionByName(keyed(spark.read.parquet(*files)).select("doc_id", "body"))
+    bodies = bodies.withColumn("digest", digest(F.col("body")).cast("binary"))
     ends = bodies.join(hits, "digest", "left_semi").groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
     unlike = ends.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("digest")
-    named = rows.join(state, "digest")
+    named = rows.join(state.select("digest", "keep_id", "keep_batch", "keep_row", "group_size"), "digest")
     if not unlike.isEmpty():  # texts that differ under one digest: their groups go by the text itself
-        again = rows.join(unlike, "digest", "left_semi")
-        exact = again.groupBy("digest", "sha").agg(F.max(_best(F.col("n"), F.col("doc_id"), F.col("row"), F.col("locator"))).alias("best"), F.count("*").alias("group_size"))
-        exact = exact.select("digest", "sha", F.bitwise_not("best.doc").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"), "group_size")
-        named = named.join(unlike, "digest", "left_anti").unionByName(again.join(exact, ["digest", "sha"]).select(named.columns))
-    return named.select("doc_id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        every = spark.read.schema(f"{LOG}, batch long").parquet(f"{folder}/log").join(unlike, "digest", "left_semi")
+        exact = every.groupBy("digest", "sha").agg(_best().alias("best"), F.count("*").alias("group_size")).select("digest", "sha", *_kept("best"), "group_size")
+        named = named.join(unlike, "digest", "left_anti").unionByName(rows.join(exact, ["digest", "sha"]).select(named.columns))
+    kept = (F.col("row") == F.col("keep_row")) & (F.col("batch") == F.col("keep_batch"))
+    return named.select("doc_id", "row", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

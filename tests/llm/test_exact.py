@@ -33,3 +33,20 @@ def test_drop_copies_and_empty(spark):
     left = exact.drop_copies(df)
     assert left.columns == df.columns and sorted([r.doc_id for r in left.collect()], key=str) == sorted([None, 3 + 2, 6, 7, 9, 10, 12], key=str)
     assert exact.exact_groups(df.limit(0)).collect() == []
+
+
+def test_later_batches_find_the_state(spark, tmp_path):
+    batches, known = [TEXTS[:7], TEXTS[7:], [(20, "ab"), (21, "x   "), (22, "new"), (23, "x")]], []
+    for digest in (exact.sha, lambda c: F.substring(exact.sha(c), 1, 1)):
+        folder, known = f"file://{tmp_path}/{id(digest)}", []
+        for k, rows in enumerate(batches):
+            path = str(tmp_path / f"{id(digest)}-{k}.parquet")
+            spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+            known += rows
+            got = exact.exact_groups(spark.read.parquet(path), digest, folder, k).collect()
+            want = brute(known)
+            for d, _ in rows:
+                assert {(r.keep_id, r.group_size) for r in got if r.doc_id == d} <= {(x[1], x[2]) for x in want if x[0] == d}
+            assert len(got) == len(rows) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    # the log of each batch was read once, by the query that went on from its checkpoint
+    assert len(list((tmp_path / f"{id(digest)}" / "state" / "commits").glob("[0-9]*"))) >= 3
