@@ -10,7 +10,8 @@ ordered in one task.
 
 Output shards: a source's block draws are divided among SHARDS shards by a splitting tree: each node halves its capacity and draws how many
 of each source's blocks go left from the multivariate hypergeometric law (source by source, inverse transform). Each shard then takes its number of
-consecutive block draws in a permuted order, so that shards are disjoint, and orders its rows by a hash.
+consecutive block draws in a permuted order, so that shards are disjoint, and orders its rows by a hash. What a row is taken for is the count of its draws; as quotas are
+exact, the tree decides where a block is drawn, and the quota how many are.
 
 One row of the tree holds the quotas of all sources, so sources are meant to be thousands, not billions. Every step is a function of
 ids and sizes: reruns agree. Nulls: a null text has no words; null ids share one key; repeated rows count each; a null source
@@ -122,7 +123,9 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, row: Column | N
     shard_of = placed.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
     found = taken.join(shard_of, same & (F.substring("key", 1, 2) == F.col("b")), "left")
     place = lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed), s, i, "key").alias("place"))
-    return found.select(*own, "doc_id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.transform(F.slice("shards", 1, F.col("copies")), place)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")).alias("draws"))
+    # a row is taken as often as shards have drawn its block in a pass that it is part of
+    drawn = F.when(F.col("copies") > 0, F.transform(F.slice("shards", 1, F.col("copies")), place)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>"))
+    return found.select(*own, "doc_id", "size", "source", "source_size", "target", drawn.alias("draws")).select(*own, "doc_id", "size", "source", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), "draws")
 
 
 def _row_key() -> Column:
@@ -133,12 +136,16 @@ def _row_key() -> Column:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """Rows of docs as the mix takes them, repeated where it repeats them, in columns of docs. Each row has its own draws, whether ids repeat or are null."""
+    """Rows of docs as the mix takes them, repeated where it repeats them, in columns of docs. Each row has its own draws, whether ids repeat or are null.
+
+    The rows of a shard lie together and in the order of their places: each slot, a stretch of a shard's order, is shuffled by one task."""
     drawn = mix(docs, row=_row_key()).groupBy("row").agg(F.array_sort(F.collect_list("draws")).alias("draws_"))
     whole = docs.select(F.struct("*").alias("d"), _row_key().alias("row"))
     # rows equal in id, source and text take one element each
     at = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("d")))
-    return whole.join(drawn, "row").withColumn("at", at).select("d", F.explode(F.element_at("draws_", F.col("at"))).alias("draw_")).select("d.*")
+    rows = whole.join(drawn, "row").withColumn("at", at).select("d", F.explode(F.element_at("draws_", F.col("at"))).alias("draw_"))
+    rows = rows.select("d", "draw_.shard", "draw_.place", F.floor(F.col("draw_.place") / (1 << 60)).alias("slot"))
+    return rows.repartition("shard", "slot").sortWithinPartitions("shard", "slot", "place").select("d.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
