@@ -135,12 +135,13 @@ LEVEL_TOKENS = r"\b(senior|sr|junior|jr|lead|staff|principal|i{1,3}|iv)\b"
 FUZZY_THRESHOLD, MIN_BODY_TOKENS = 0.85, 10
 
 # --- fixed values: URLs ---
-TRACKING = (
-    "gclid gbraid wbraid gad_source gad_campaignid msclkid fbclid fb_action_ids fb_action_types fb_source trk trkid veh lipi "
-    "ref refid ref_id originalreferer original_referer srsltid scid sc_cid vero_conv vero_id mc_cid mc_eid _hsenc _hsmi hsctatracking mkt_tok "
-    "pk_campaign pk_kwd pk_medium pk_source piwik_kwd piwik_campaign matomo_campaign matomo_kwd yclid dclid gdfms aff_id aff_sub aff_sub2 ircid irgwc "
-    "zanpid c_id tblci outbrain_click_id currentjobid"
-).split()
+TRACKING = [
+    "gclid", "gbraid", "wbraid", "gad_source", "gad_campaignid", "msclkid", "fbclid", "fb_action_ids", "fb_action_types", "fb_source", "trk", "trkid",
+    "veh", "lipi", "ref", "refid", "ref_id", "originalreferer", "original_referer", "srsltid", "scid", "sc_cid", "vero_conv", "vero_id", "mc_cid",
+    "mc_eid", "_hsenc", "_hsmi", "hsctatracking", "mkt_tok", "pk_campaign", "pk_kwd", "pk_medium", "pk_source", "piwik_kwd", "piwik_campaign",
+    "matomo_campaign", "matomo_kwd", "yclid", "dclid", "gdfms", "aff_id", "aff_sub", "aff_sub2", "ircid", "irgwc", "zanpid", "c_id", "tblci",
+    "outbrain_click_id", "currentjobid",
+]
 BOARD_HOSTS = [
     ("lever.co", "lever"), ("ashbyhq.com", "ashby"), ("greenhouse.io", "greenhouse"), ("smartrecruiters.com", "smartrecruiters"), ("myworkdayjobs.com", "workday"),
     ("teamtailor.com", "teamtailor"), ("personio.de", "personio"), ("recruitee.com", "recruitee"), ("workable.com", "workable"), ("breezy.hr", "breezy"),
@@ -150,7 +151,7 @@ BOARD_HOSTS = [
 ]
 RADANCY_JOB = r"^https?://[^/]+/[a-z]{2}/job/(?:[^/]+/)?[^/]+/\d+/\d+/?$"
 STATUSES = ["applied", "interviewing", "offer", "rejected", "withdrawn"]
-EXPORT_COLUMNS = (
-    "score live age_days title company location type job_type seniority exp_years salary matched_skills skill_gaps fit_summary benefits sponsorship "
-    "german_required work_mode tracker applied repost search_role url"
-).split()
+EXPORT_COLUMNS = [
+    "score", "live", "age_days", "title", "company", "location", "type", "job_type", "seniority", "exp_years", "salary", "matched_skills",
+    "skill_gaps", "fit_summary", "benefits", "sponsorship", "german_required", "work_mode", "tracker", "applied", "repost", "search_role", "url",
+]

@@ -1,11 +1,14 @@
 """What a posting's text says: section buckets, skills, years, salary, signals, liveness, age, job type and seniority."""
 
 from collections.abc import Sequence
+from functools import cache, reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .literals import needed
 from .urls import strip
 
 SALARY_TYPE = "array<struct<raw:string,currency:string,min_annual:bigint,max_annual:bigint>>"
@@ -16,12 +19,29 @@ def rx(pattern: str) -> Column:
     return F.lit(f"(?iU){pattern}")
 
 
-def has(text: Column, pattern: str) -> Column:
-    return F.regexp_like(F.coalesce(text, F.lit("")), rx(pattern))
+needed = cache(needed)
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), rx(pattern), F.lit(group))
+def folded(text: Column) -> Column:
+    """Lower-case text, to search for plain words before patterns are tried; the two letters that patterns take for s and i become these."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.contains(low, F.lit("\u017f")) | F.contains(low, F.lit("\u0131")), F.translate(low, "\u017f\u0131", "si")).otherwise(low)
+
+
+def may_hold(pattern: str, *low: Column) -> Column:
+    """Whether a text, given in folded form, holds the literals without which the pattern can't match."""
+    return reduce(and_, [reduce(or_, [F.contains(x, F.lit(word)) for word in words for x in low]) for words in needed(pattern)], F.lit(True))
+
+
+def has(text: Column, pattern: str, *low: Column) -> Column:
+    """low: the text in folded form, where it is at hand (in parts, if it is put together from some); most texts are then never searched by the pattern."""
+    found = F.regexp_like(F.coalesce(text, F.lit("")), rx(pattern))
+    return may_hold(pattern, *low) & found if low else found
+
+
+def matches(text: Column, pattern: str, group: int = 0, low: Column | None = None) -> Column:
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), rx(pattern), F.lit(group))
+    return found if low is None else F.when(may_hold(pattern, low), found).otherwise(F.array().cast("array<string>"))
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
@@ -51,23 +71,24 @@ def extract_benefits(sections: Column) -> Column:
     return F.filter(sections, lambda s: (strip(F.coalesce(s["text"], F.lit(""))) != "") & has(s["heading"], fixed.BENEFITS))
 
 
-def find_skills(text: Column, extra: Sequence[str] = ()) -> Column:
+def find_skills(text: Column, extra: Sequence[str] = (), low: Column | None = None) -> Column:
     """Vocabulary terms found, in vocabulary order; none counts that touches a letter."""
     vocabulary = fixed.SKILLS + [s for s in extra if s not in fixed.SKILLS]
     quoted = lambda s: "".join(f"\\{c}" if c in r"\.+*?()[]{}|^$&/-#~" else c for c in s)
     held = lambda low, s: F.contains(low, F.lit(s.lower())) & has(text, f"(?<![A-Za-z]){quoted(s)}(?![A-Za-z])")  # noqa: E731  a plain search rules most terms out
-    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(held(low, s), F.lit(s)) for s in vocabulary])))
+    terms = lambda low: F.array_compact(F.array(*[F.when(held(low, s), F.lit(s)) for s in vocabulary]))
+    return let(F.lower(F.coalesce(text, F.lit(""))), terms) if low is None else terms(low)
 
 
-def find_experience(text: Column) -> Column:
+def find_experience(text: Column, low: Column | None = None) -> Column:
     """Years asked for (the lower end of ranges), distinct and sorted."""
-    return F.array_compact(F.array_sort(F.array_distinct(F.transform(matches(text, fixed.EXPERIENCE, 1), lambda x: x.try_cast("int")))))
+    return F.array_compact(F.array_sort(F.array_distinct(F.transform(matches(text, fixed.EXPERIENCE, 1, low), lambda x: x.try_cast("int")))))
 
 
-def extract_salary(text: Column) -> Column:
+def extract_salary(text: Column, low: Column | None = None) -> Column:
     """Salary figures as written, with a pay period that follows; unlike ones only, the first SALARY_HITS by code point."""
-    long = F.transform(matches(text, f"(?:{fixed.SALARY})(?:\\s*{fixed.PERIOD})?"), lambda m: _joined(m))
-    short = F.transform(matches(text, fixed.SHORT_SALARY), strip)
+    long = F.transform(matches(text, f"(?:{fixed.SALARY})(?:\\s*{fixed.PERIOD})?", 0, low), lambda m: _joined(m))
+    short = F.transform(matches(text, fixed.SHORT_SALARY, 0, low), strip)
     squeezed = lambda h: F.regexp_replace(h, r"(?U)\s+", "")
 
     def firsts(hits: Column) -> Column:
@@ -106,20 +127,21 @@ def normalize_salary(hits: Column) -> Column:
     return F.array_compact(F.transform(hits, annual))
 
 
-def detect_signals(text: Column) -> Column:
-    modes = F.slice(F.array_sort(F.array_distinct(F.transform(matches(text, fixed.WORK_MODE, 1), F.lower))), 1, 3)
-    return F.struct(has(text, fixed.SPONSORSHIP).alias("sponsorship_mentioned"), has(text, fixed.GERMAN).alias("german_required"), modes.alias("work_mode"))
+def detect_signals(text: Column, *low: Column) -> Column:
+    modes = F.slice(F.array_sort(F.array_distinct(F.transform(matches(text, fixed.WORK_MODE, 1, *low), F.lower))), 1, 3)
+    return F.struct(has(text, fixed.SPONSORSHIP, *low).alias("sponsorship_mentioned"), has(text, fixed.GERMAN, *low).alias("german_required"), modes.alias("work_mode"))
 
 
 def looks_blocked(visible: Column) -> Column:
     return (F.length(visible) < fixed.BLOCKED_BELOW_CHARS) & has(visible, fixed.BLOCKED)
 
 
-def check_liveness(visible: Column) -> Column:
+def check_liveness(visible: Column, *low: Column) -> Column:
     """(is_live, live_reason): unknown behind a bot wall, false if the page says so, else true."""
-    dead, says = has(visible, fixed.DEAD), fixed.LIVE_REASONS
-    reason = F.when(looks_blocked(visible), says["blocked"]).when(dead, says["closed"]).otherwise(says["open"])
-    return F.struct(F.when(looks_blocked(visible), F.lit(None).cast("boolean")).otherwise(~dead).alias("is_live"), reason.alias("live_reason"))
+    says = fixed.LIVE_REASONS
+    state = F.when(looks_blocked(visible), "blocked").when(has(visible, fixed.DEAD, *low), "closed").otherwise("open")
+    live = lambda x: F.when(x == "blocked", F.lit(None).cast("boolean")).otherwise(x == "open").alias("is_live")
+    return let(state, lambda x: F.struct(live(x), F.when(x == "blocked", says["blocked"]).when(x == "closed", says["closed"]).otherwise(says["open"]).alias("live_reason")))
 
 
 def posting_age_days(posted: Column, as_of: Column) -> Column:
@@ -144,7 +166,7 @@ def posting_age_days(posted: Column, as_of: Column) -> Column:
     )
 
 
-def normalize_job_type(raw: Column, title: Column, text: Column) -> Column:
+def normalize_job_type(raw: Column, title: Column, text: Column, *low: Column) -> Column:
     """Canonical job type of an array of raw values; hints in title and text where none is known."""
     names = F.create_map(*[F.lit(x) for pair in fixed.JOB_TYPE_NAMES.items() for x in pair])
     squash = lambda v: strip(F.regexp_replace(F.lower(strip(v)), r"(?U)[\s_\-]+", " "))
@@ -152,37 +174,42 @@ def normalize_job_type(raw: Column, title: Column, text: Column) -> Column:
     blob = F.lower(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
     hint = F.when(F.lit(False), "")
     for label, pattern in fixed.JOB_TYPE_HINTS:
-        hint = hint.when(has(blob, pattern), label)
+        hint = hint.when(has(blob, pattern, *low, *[folded(title) for _ in low]), label)
     values = F.filter(F.coalesce(raw, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
     return F.coalesce(F.get(F.array_compact(F.transform(values, known)), F.lit(0)), hint.otherwise("unknown"))
 
 
-def _level(text: Column, table, prefix: str) -> tuple[Column, Column]:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    level, evidence = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+def _level(text: Column, table, prefix: str, *low: Column) -> Column:
+    """(level, evidence) of the first pattern that the lower-case text matches."""
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    level = F.when(F.lit(False), "")
     for name, pattern in table:
-        hit = has(low, pattern)
-        level = level.when(hit, name)
-        evidence = evidence.when(hit, F.concat(F.lit(f"{prefix}: '"), strip(first_match(low, pattern)), F.lit("'")))
-    return level, evidence
+        level = level.when(has(plain, pattern, *low), name)
+
+    def told(x: Column) -> Column:
+        said = F.when(F.lit(False), "")
+        for name, pattern in table:
+            said = said.when(x == name, F.concat(F.lit(f"{prefix}: '"), strip(first_match(plain, pattern)), F.lit("'")))
+        return F.struct(x.alias("level"), said.alias("evidence"))
+
+    return let(level, told)
 
 
-def infer_seniority(title: Column, text: Column, years: Column) -> Column:
+def infer_seniority(title: Column, text: Column, years: Column, *low: Column) -> Column:
     """(level, evidence, confidence): the title decides, then the text, then years; agreement raises confidence."""
-    by_title, title_says = _level(title, fixed.TITLE_LEVELS, "title")
-    by_text, text_says = _level(text, fixed.TEXT_LEVELS, "description")
+    by_title, by_text = _level(title, fixed.TITLE_LEVELS, "title"), _level(text, fixed.TEXT_LEVELS, "description", *low)
     lo, hi = F.array_min(years), F.array_max(years)
     by_years = F.when(hi <= 2, "entry").when(lo >= 8, "staff").when(lo >= 5, "senior").when(hi >= 3, "mid")
     years_say = F.when(by_years.isNotNull(), F.format_string("asks %d-%d years", lo, hi))
 
     def judged(x: Column) -> Column:
-        t, d, y = x["t"], x["d"], x["y"]
-        second = F.when(t.isNotNull() & t.eqNullSafe(d), x["ds"]).when(F.coalesce(t, d).isNotNull() & F.coalesce(t, d).eqNullSafe(y), x["ys"])
+        t, d, y = x["t"]["level"], x["d"]["level"], x["y"]
+        second = F.when(t.isNotNull() & t.eqNullSafe(d), x["d"]["evidence"]).when(F.coalesce(t, d).isNotNull() & F.coalesce(t, d).eqNullSafe(y), x["ys"])
         sure = F.when(t.isNotNull() & t.eqNullSafe(d), 0.95).when(t.isNotNull() & t.eqNullSafe(y), 0.9).when(t.isNotNull(), 0.8).when(d.isNotNull() & d.eqNullSafe(y), 0.65).when(d.isNotNull(), 0.55).when(y.isNotNull(), 0.4).otherwise(0.0)
-        first = F.when(t.isNotNull(), x["ts"]).when(d.isNotNull(), x["ds"]).otherwise(x["ys"])
+        first = F.when(t.isNotNull(), x["t"]["evidence"]).when(d.isNotNull(), x["d"]["evidence"]).otherwise(x["ys"])
         return F.struct(F.coalesce(t, d, y, F.lit("unknown")).alias("level"), F.array_compact(F.array(first, second)).alias("evidence"), sure.alias("confidence"))
 
-    return let(F.struct(by_title.alias("t"), title_says.alias("ts"), by_text.alias("d"), text_says.alias("ds"), by_years.alias("y"), years_say.alias("ys")), judged)
+    return let(F.struct(by_title.alias("t"), by_text.alias("d"), by_years.alias("y"), years_say.alias("ys")), judged)
 
 
 def seniority_rank(level: Column) -> Column:

@@ -36,8 +36,14 @@ def dedupe_by_job_id(cards: DataFrame, limit: int | None = None) -> DataFrame:
     return left.orderBy("seq").limit(limit) if limit is not None else left
 
 
+#: Roles are compared with every card, so a registry is a list that people keep.
+MOST_ROLES = 10_000
+
+
 def role_hits(cards: DataFrame, roles: DataFrame, limit: int = 25) -> DataFrame:
-    """(role_seq, role, url, seq): of each role the first `limit` cards that hold all its keywords. roles: a registry of some hundred rows, broadcast."""
+    """(role_seq, role, url, seq): of each role the first `limit` cards that hold all its keywords. A registry of up to MOST_ROLES rows is broadcast, a longer one raises."""
+    if roles.limit(MOST_ROLES + 1).count() > MOST_ROLES:
+        raise ValueError(f"a role registry may have {MOST_ROLES} roles at most")
     hay = cards.select("seq", "url", haystack().alias("hay")).where("coalesce(url, '') <> ''")
     hits = hay.join(F.broadcast(roles.select("role_seq", "role", "keywords")), match_keywords(F.col("keywords"), F.col("hay")))
     return hits.withColumn("at_", F.row_number().over(Window.partitionBy("role_seq").orderBy("seq"))).where(F.col("at_") <= limit).select("role_seq", "role", "url", "seq")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, scoring
 from ..functions.urls import board_name
 from .dedupe import failed
+from .tables import materialise
 
 
 def _order() -> list[Column]:
@@ -44,12 +45,13 @@ def export_rows(df: DataFrame, profile: dict) -> DataFrame:
         "work_mode": joined(F.col("signals.work_mode"), ","), "tracker": text("tracker_status"), "applied": text("application_status"), "repost": F.coalesce(*repost, F.lit("")), "search_role": text("search_role"), "url": text("url"),
     }
     order = [F.col("score").alias("score_"), F.col("seq").alias("seq_")]
-    made = df.select(*[values[c].alias(c) for c in fixed.EXPORT_COLUMNS], *order)
+    # written before the sort, which reads its input twice to find the ranges
+    made = materialise(df.select(*[values[c].alias(c) for c in fixed.EXPORT_COLUMNS], *order), "export")
     return made.orderBy(F.coalesce("score_", F.lit(-1)).desc(), "seq_").drop("score_", "seq_")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.option("header", True).option("emptyValue", "").csv(path)
+    rows.write.option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def write_jsonl(ranked: DataFrame, path: str) -> None:
@@ -96,10 +98,17 @@ def top_errors_per_source(stats: DataFrame, top: int = 2) -> DataFrame:
     return flat.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n").desc(), "message"))).where(F.col("place") <= top)
 
 
-def run_counters(df: DataFrame, kept: Column) -> DataFrame:
-    """One row of counts over a run in a single pass."""
-    flag = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return df.agg(F.count("*").alias("postings"), flag(failed()).alias("errored"), flag(kept).alias("kept"), flag(F.col("score").isNotNull()).alias("scored"), flag(~F.col("is_live")).alias("closed"))
+def run_counters(before: DataFrame, after: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """One row of counts of a run: postings before and after filters; of those after them failed, scored, merged (winners of fuzzy groups), reposts and new ones; and newly closed keys of the watch list."""
+    given = lambda c, found: found if c in after.columns else F.lit(False)
+    repost = given("repost_of", F.col("repost_of").isNotNull()) | given("repost_of_closed", F.col("repost_of_closed").isNotNull())
+    flags = {"errored": failed(), "scored": F.col("score").isNotNull(), "merged": given("merged_urls", F.size("merged_urls") > 0), "reposts": repost, "new": given("is_new", F.coalesce("is_new", F.lit(False)))}
+    counts = after.agg(F.lit(0).cast("long").alias("before"), F.count("*").alias("after"), *[F.count_if(c).alias(n) for n, c in flags.items()], F.lit(0).cast("long").alias("closed"))
+    parts = [before.agg(F.count("*").alias("before")), counts] + ([closed.agg(F.count("*").alias("closed"))] if closed is not None else [])
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    return every.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts.columns])
 
 
 def score_band(df: DataFrame) -> DataFrame:

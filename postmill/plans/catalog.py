@@ -12,7 +12,7 @@ from ..functions import fixed, scoring, text, urls
 from ..functions.scoring import PROFILE
 from ..operators import cards as C
 from ..operators import dedupe, enrich, filters, report, state
-from ..operators.tables import materialise
+from ..operators.tables import materialise, shared_path
 from . import oracle
 from .adapters import as_of, pick, postings, table
 from .oracle import CHAIN, board, canon, has, names, q
@@ -198,9 +198,20 @@ FIT = f"""concat_ws(' | ', CASE WHEN scored AND len(matched) > 0 THEN 'Fit: ' ||
   CASE WHEN scored AND len(gaps) > 0 THEN 'Watch: ' || array_to_string(gaps[1:5], ', ') END, CASE WHEN german THEN 'Watch: German required' END, CASE WHEN sponsorship THEN 'Note: sponsorship mentioned in posting' END,
   CASE WHEN age_days IS NOT NULL THEN 'Posted ' || age_days || 'd ago' || CASE WHEN age_days <= 14 THEN ' (fresh)' WHEN age_days > 60 THEN ' (stale)' ELSE '' END END)"""
 on_postings("f4_fit_summary", {"fit": lambda: joined(scoring.fit_summary(F.col("match"), F.col("experience_years_mentioned"), F.col("signals"), F.col("age_days"), F.lit(None).cast("string"), PROFILE))}, f"SELECT seq, {FIT} AS fit FROM k", full=True)
-on_postings("e5_extract_salary", {"salary": lambda: joined(text.extract_salary(F.col("text1")))}, "SELECT seq, " + pick("seq", ["$120,000 per year", "€60,000 k", "25 LPA", "£45,000", "$50/hr", "", "₹12,00,000 per annum", "$90,000 | $95,000"]) + " AS salary FROM k")
-on_postings("e6_normalize_salary", {"currency": lambda: F.get(text.normalize_salary(text.extract_salary(F.col("text1"))), F.lit(0))["currency"], "annual": lambda: F.get(text.normalize_salary(text.extract_salary(F.col("text1"))), F.lit(0))["max_annual"]},
-            "SELECT seq, " + pick("seq", ["USD", "EUR", "INR", "GBP", "USD", None, "INR", "USD"]) + " AS currency, CAST(" + pick("seq", ["120000", "60000000", "2500000", "45000", "104000", None, "1200000", "90000"]) + " AS BIGINT) AS annual FROM k")
+_SALARY = f"WITH p AS ({oracle.POSTINGS}), b AS (SELECT seq, {oracle.salary_hits('text1 || chr(32) || text2')} AS hits FROM p)"
+
+
+@query("e5_extract_salary", f"{_SALARY} SELECT seq, array_to_string(hits, ' | ') AS salary FROM b")
+def _(spark, sf_dir):
+    df = postings(spark, sf_dir)
+    return df.select("seq", joined(text.extract_salary(F.col("full_text"), text.folded(F.col("full_text")))).alias("salary"))
+
+
+@query("e6_normalize_salary", f"{_SALARY}, n AS (SELECT seq, list_filter(list_transform(hits, lambda h: {oracle.annual('h')}), lambda x: x IS NOT NULL) AS found FROM b) SELECT seq, array_to_string(list_transform(found, lambda x: x.currency || ':' || x.lo || '-' || x.hi), ' | ') AS annual FROM n")
+def _(spark, sf_dir):
+    df = postings(spark, sf_dir)
+    found = text.normalize_salary(text.extract_salary(F.col("full_text"), text.folded(F.col("full_text"))))
+    return df.select("seq", joined(F.transform(found, lambda x: F.format_string("%s:%d-%d", x["currency"], x["min_annual"], x["max_annual"]))).alias("annual"))
 
 
 @query("e12_epoch_to_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%d') AS day FROM events")
@@ -220,14 +231,15 @@ def _(spark, sf_dir):
     return dedupe.dedupe_results(enriched_table(spark, sf_dir)).select("seq", "score")
 
 
+_WHOLE = " || ' ' || ".join(f"substr(text{k}, 1, 2000) || CASE WHEN {_bucket(k)} <> 'none' THEN ' ' || text{k} ELSE '' END" for k in (1, 2))
 _FP = f"""{CHAIN}, tk AS (SELECT seq, url, company_key, title_key, failed, trim(regexp_replace(regexp_replace(lower(coalesce(location, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS place,
-  list_sort(list_distinct(regexp_extract_all(lower(substr(text2, 1, 2000)), '[a-z0-9]+'))) AS tokens FROM k),
+  list_sort(list_distinct(regexp_extract_all(lower({_WHOLE}), '[a-z0-9]+'))) AS tokens FROM k),
 fp AS (SELECT seq, url, CASE WHEN NOT failed AND company_key <> '' AND title_key <> '' AND len(tokens) >= 10 THEN sha256(concat_ws('|', company_key, title_key, place, sha256(array_to_string(tokens, ' ')))) END AS fingerprint FROM tk)"""
 
 
 def _bodies(spark, sf_dir) -> DataFrame:
-    df = postings(spark, sf_dir)
-    return df.withColumn("sections", F.array(F.struct(F.col("heading2").alias("heading"), F.substring("text2", 1, fixed.SECTION_CHARS).alias("text"))))
+    """Postings with cut sections and whole buckets, as the enrichment leaves them."""
+    return enriched(spark, sf_dir)
 
 
 @query("g5_content_fingerprint", f"{_FP} SELECT seq, fingerprint FROM fp")
@@ -284,6 +296,8 @@ on_filter("h5_job_type", "job_type IN ('contract', 'unknown')", job_type="contra
 _TOP = pick("seq", ["120000", "60000000", "2500000", "45000", "104000", None, "1200000", "95000"])
 _CUR = pick("seq", ["USD", "EUR", "INR", "GBP", "USD", None, "INR", "USD"])
 on_filter("h6_salary", f"({_TOP}) IS NULL OR (({_CUR}) = 'USD' AND CAST({_TOP} AS BIGINT) >= 100000)", salary_min="100k USD")
+_LOW = pick("seq", ["120000", "60000000", "2500000", "45000", "104000", None, "1200000", "90000"])
+on_filter("h6_salary_max", f"({_LOW}) IS NULL OR (({_CUR}) = 'USD' AND CAST({_LOW} AS BIGINT) <= 110000)", salary_max="110k USD")
 on_filter("h8_max_age", "age_days IS NULL OR age_days <= 30", max_age=30)
 
 
@@ -292,7 +306,8 @@ def _(spark, sf_dir):
     return enriched(spark, sf_dir).where(filters.min_score(50)).select("seq")
 
 
-@query("h10_check_tracker", f"WITH p AS ({oracle.POSTINGS}), t AS (SELECT DISTINCT {canon('lower(url)')} AS k FROM p WHERE seq % 50 = 3) SELECT seq, CASE WHEN t.k IS NOT NULL THEN 'applied' END AS tracker_status FROM p LEFT JOIN t ON t.k = {canon('lower(p.url)')}")
+@query("h10_check_tracker", f"""WITH p AS (SELECT seq, url, {canon('lower(url)')} AS k FROM ({oracle.POSTINGS})), t AS (SELECT 'applied to <' || lower(url) || '> on monday' AS line, k FROM p WHERE seq % 50 = 3),
+a AS (SELECT k FROM t UNION SELECT p.k FROM p JOIN t ON contains(t.line, p.k)) SELECT seq, CASE WHEN a.k IS NOT NULL THEN 'applied' END AS tracker_status FROM p LEFT JOIN a USING (k)""")
 def _(spark, sf_dir):
     df = postings(spark, sf_dir).select("seq", "url")
     lines = df.where("seq % 50 = 3").select(F.concat(F.lit("applied to <"), "url", F.lit("> on Monday")).alias("line"))
@@ -308,13 +323,18 @@ run AS (SELECT * FROM kk WHERE seq % 3 <> 1), now AS (SELECT key, bool_or(failed
 m AS (SELECT coalesce(old.key, now.key) AS key, old.key IS NOT NULL AS known, first_seq, now.key IS NOT NULL AS seen, coalesce(old.url, now.url) AS url, coalesce(old.title, now.title) AS title, closed_since FROM old FULL JOIN now ON old.key = now.key)"""
 
 
-def watched(spark, sf_dir):
-    # scores play no part in the watch list
+def _watch_before(spark, sf_dir) -> DataFrame:
+    """The watch list that an earlier run left."""
     df = postings(spark, sf_dir).select("seq", "url", "title", "company", "error")
     keyed = dedupe.with_keys(df).where("seq % 3 <> 0 AND error IS NULL").withColumn("key", F.concat_ws("|", "company_key", "title_key"))
     old = keyed.groupBy("key").agg(F.min_by("url", "seq").alias("url"), F.min_by("title", "seq").alias("title"), F.min("seq").alias("s"))
-    old = old.select("key", "url", "title", F.lit(BEFORE).cast("date").alias("first_seen"), F.when(F.col("s") % 5 == 0, F.lit(BEFORE).cast("date")).alias("closed_since"))
-    return state.apply_watch(df.where("seq % 3 <> 1"), old, TODAY)
+    return old.select("key", "url", "title", F.lit(BEFORE).cast("date").alias("first_seen"), F.when(F.col("s") % 5 == 0, F.lit(BEFORE).cast("date")).alias("closed_since"))
+
+
+def watched(spark, sf_dir):
+    # scores play no part in the watch list
+    df = postings(spark, sf_dir).select("seq", "url", "title", "company", "error")
+    return state.apply_watch(df.where("seq % 3 <> 1"), _watch_before(spark, sf_dir), TODAY)
 
 
 @query("i1_watch_new", f"{_WATCH} SELECT run.seq, coalesce(NOT m.known AND m.first_seq = run.seq, FALSE) AS is_new FROM run JOIN m ON m.key = run.key")
@@ -425,20 +445,44 @@ def _(spark, sf_dir):
     return report.top_errors_per_source(stats(spark, sf_dir))
 
 
-@query("j3_run_counters", f"{CHAIN} SELECT count(*) AS postings, count_if(failed) AS errored, count_if(failed OR contains(lower(coalesce(location, '')), 'berlin')) AS kept, count(score) AS scored, count_if(NOT is_live) AS closed FROM k")
+_FP_ROWS = _FP.removeprefix(CHAIN)
+
+
+@query("j3_run_counters", f"""{_WATCH}{_FP_ROWS}, kept AS (SELECT * FROM run WHERE failed OR contains(lower(coalesce(location, '')), 'berlin') OR score >= 40),
+f AS (SELECT kept.seq, kept.url, fingerprint, first_value(kept.url) OVER (PARTITION BY fingerprint ORDER BY kept.seq) AS first FROM kept JOIN fp ON fp.seq = kept.seq),
+w AS (SELECT kept.*, key AS k2 FROM kept), wn AS (SELECT key, min(seq) FILTER (NOT failed) AS first_seq, bool_or(failed) AS any_failed FROM kept GROUP BY key)
+SELECT (SELECT count(*) FROM run) AS before, count(*) AS after, count_if(failed) AS errored, count(score) AS scored, CAST(0 AS BIGINT) AS merged, (SELECT count_if(fingerprint IS NOT NULL AND first <> url) FROM f) AS reposts,
+(SELECT count_if(old.key IS NULL AND wn.first_seq IS NOT NULL) FROM wn LEFT JOIN old ON old.key = wn.key) AS new, (SELECT count_if(wn.key IS NULL AND closed_since IS NULL) FROM old LEFT JOIN wn ON wn.key = old.key) AS closed FROM kept""")
 def _(spark, sf_dir):
-    return report.run_counters(enriched(spark, sf_dir), filters.posting_filter(location="berlin"))
+    full = enriched(spark, sf_dir)
+    full = full.withColumn("fingerprint", dedupe.content_fingerprint(full)).drop("full_text", "text1", "text2", "sections", "requirements", "responsibilities", "nice_to_have", "other_possibly_relevant")
+    rows = materialise(full, "enriched").where("seq % 3 <> 1")
+    kept = dedupe.mark_reposts(rows.where(filters.posting_filter(location="berlin") | filters.min_score(40)))
+    flagged, closed, _ = state.apply_watch(kept, _watch_before(spark, sf_dir), TODAY)
+    return report.run_counters(rows, flagged, closed)
 
 
+_BENEFITS = "concat_ws('; ', " + ", ".join(f"CASE WHEN {has(f'heading{k}', fixed.BENEFITS)} AND trim(text{k}) <> '' THEN heading{k} END" for k in (1, 2)) + ")"
 EXPORT_SQL = f"""SELECT coalesce(CAST(score AS VARCHAR), '') AS score, CASE WHEN is_live THEN 'yes' ELSE 'no' END AS live, coalesce(CAST(age_days AS VARCHAR), '') AS age_days, title, coalesce(company, '') AS company, coalesce(location, '') AS location, coalesce(employment_type, '') AS type,
-  job_type, seniority, array_to_string(years, ',') AS exp_years, CASE WHEN scored THEN array_to_string(matched, '; ') ELSE '' END AS matched_skills, CASE WHEN scored THEN array_to_string(gaps, '; ') ELSE '' END AS skill_gaps, replace({FIT}, ' | ', '; ') AS fit_summary,
-  CASE WHEN sponsorship THEN 'yes' ELSE '' END AS sponsorship, CASE WHEN german THEN 'yes' ELSE '' END AS german_required, array_to_string(modes, ',') AS work_mode, '' AS tracker, '' AS applied, '' AS repost, '' AS search_role, url FROM k"""
+  job_type, seniority, array_to_string(years, ',') AS exp_years, array_to_string({oracle.salary_hits('full_text')}, '; ') AS salary, CASE WHEN scored THEN array_to_string(matched, '; ') ELSE '' END AS matched_skills, CASE WHEN scored THEN array_to_string(gaps, '; ') ELSE '' END AS skill_gaps, replace({FIT}, ' | ', '; ') AS fit_summary,
+  {_BENEFITS} AS benefits, CASE WHEN sponsorship THEN 'yes' ELSE '' END AS sponsorship, CASE WHEN german THEN 'yes' ELSE '' END AS german_required, array_to_string(modes, ',') AS work_mode, '' AS tracker, '' AS applied, '' AS repost, '' AS search_role, url FROM k"""
 
 
 @query("j5_export_rows", f"{CHAIN} {EXPORT_SQL}")
 def _(spark, sf_dir):
-    # salaries and benefits have queries of their own (e2, e5)
-    return report.export_rows(enriched(spark, sf_dir), PROFILE).drop("salary", "benefits")
+    """All columns of the export, written as CSV and read back."""
+    path = shared_path(spark, "export")
+    report.write_csv(report.export_rows(enriched(spark, sf_dir), PROFILE), path)
+    rows = spark.read.schema(", ".join(f"{c} string" for c in fixed.EXPORT_COLUMNS)).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.na.fill("")
+
+
+@query("j7_json_rows", f"{CHAIN} SELECT seq, score, title, company FROM k")
+def _(spark, sf_dir):
+    """The records that the JSON sink writes, written and read back."""
+    path = shared_path(spark, "json")
+    report.write_json(enriched(spark, sf_dir).select("seq", "score", "title", "company"), path)
+    return spark.read.schema("seq long, score int, title string, company string").json(path)
 
 
 @query("j8_score_band", f"{CHAIN} SELECT seq, CASE WHEN score >= 65 THEN 'hi' WHEN score >= 40 THEN 'mid' WHEN score IS NOT NULL THEN 'lo' END AS band, CASE WHEN score >= 75 THEN 'hi' WHEN score >= 50 THEN 'mid' WHEN score IS NOT NULL THEN 'lo' END AS sheet_band FROM k")
@@ -451,6 +495,11 @@ def _(spark, sf_dir):
     return report.digest_top_n(enriched(spark, sf_dir).withColumn("is_new", F.col("seq") % 4 == 0), 20)
 
 
+@query("j9_digest_only_new", f"{CHAIN} SELECT row_number() OVER (ORDER BY rank) AS place, seq, concat_ws(' - ', title, company, location, 'score ' || score) || ' [NEW]' AS line FROM k WHERE seq % 4 = 0 ORDER BY rank LIMIT 20")
+def _(spark, sf_dir):
+    return report.digest_top_n(enriched(spark, sf_dir).withColumn("is_new", F.col("seq") % 4 == 0), 20, only_new=True)
+
+
 @query("j10_top10", f"{CHAIN} SELECT seq, score FROM k WHERE score IS NOT NULL ORDER BY rank LIMIT 10")
 def _(spark, sf_dir):
     return report.top10(enriched(spark, sf_dir)).select("seq", "score")

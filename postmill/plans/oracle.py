@@ -76,6 +76,35 @@ s2 AS (SELECT *, is_live IS NOT FALSE AND coalesce(error, '') = '' AS scored,
 s AS (SELECT *, CASE WHEN scored THEN p_skills + p_exp + p_level + p_cert + p_place + p_role + p_pay END AS score FROM s2)"""
 
 
+def salary_hits(text: str) -> str:
+    """List of the salary figures of a text: unlike ones, the first by code point."""
+    tail = f"regexp_extract(h, {q(chr(92) + 's*' + fixed.PERIOD + '$')}, 0, 'i')"
+    period = f"trim({tail})"
+    whole = f"trim(trim(h[1:len(h) - len({tail})]) || CASE WHEN {period} = '' OR starts_with({period}, '/') THEN '' ELSE ' ' END || {period})"
+    long = f"list_transform(regexp_extract_all({text}, {q(f'(?:{fixed.SALARY})(?:{chr(92)}s*{fixed.PERIOD})?')}, 0, 'i'), lambda h: {whole})"
+    short = f"list_transform(regexp_extract_all({text}, {q(fixed.SHORT_SALARY)}, 0, 'i'), lambda h: trim(h))"
+    squeezed = lambda h: f"regexp_replace({h}, '\\s+', '', 'g')"
+    found = f"list_concat({long}, {short})"
+    return f"list_slice(list_sort(list_filter({found}, lambda h, i: list_position(list_transform({found}, lambda g: {squeezed('g')}), {squeezed('h')}) = i)), 1, {fixed.SALARY_HITS})"
+
+
+def annual(hit: str) -> str:
+    """Struct (currency, lo, hi) of a figure a year, or null."""
+    at = lambda pattern, group: f"regexp_extract({hit}, {q(pattern)}, {group}, 'i')"
+    tail = f"lower(regexp_extract({hit}, {q(chr(92) + 's*' + fixed.PERIOD + chr(92) + 's*$')}, 0, 'i'))"
+    factor = _case([(f"regexp_matches({tail}, {q(f'(^|[^a-z]){word}([^a-z]|$)')})", str(times)) for word, times in fixed.PERIOD_FACTORS], "1")
+    core = f"regexp_replace({hit}, {q(chr(92) + 's*' + fixed.PERIOD + chr(92) + 's*$')}, '', 'i')"
+    scale = f"({factor}) * CASE WHEN regexp_matches(trim({core}), 'k\\s*$', 'i') THEN 1000 ELSE 1 END"
+    number = lambda x: f"TRY_CAST(replace({x}, ',', '') AS DOUBLE)"
+    cut = lambda v, times: f"CAST(trunc({v} * ({scale}) * {times}) AS BIGINT)"
+    cases = []
+    for currency, span, single, times in fixed.SALARY_SPECS:
+        lo, hi, one = number(at(span, 1)), number(at(span, 2)), number(at(single, 1))
+        entry = lambda a, b, c=currency, t=times: f"{{'currency': {q(c)}, 'lo': {cut(a, t)}, 'hi': {cut(b, t)}}}"
+        cases += [(f"{lo} IS NOT NULL AND {hi} IS NOT NULL", entry(f"least({lo}, {hi})", f"greatest({lo}, {hi})")), (f"{one} IS NOT NULL", entry(one, one))]
+    return _case(cases, "NULL")
+
+
 _DEAD = fixed.DEAD
 CHAIN = rf"""
 WITH p AS ({POSTINGS}), b AS (SELECT *, {FULL_TEXT} AS full_text FROM p),

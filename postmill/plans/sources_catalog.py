@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 from ..functions.scoring import PROFILE
-from ..operators import report
+from ..operators import cards as cards_of
+from ..operators import dedupe, report
 from ..operators.tables import shared_path
 from ..sources import ats, feeds, html
-from . import oracle
+from . import catalog, oracle
 from .adapters import as_of, postings, table
 from .catalog import enriched_table, query
-from .pipeline import run_pipeline
+from .pipeline import run_flow
 
 P = f"WITH p AS ({oracle.POSTINGS})"
 PAGE = 100
@@ -134,30 +137,37 @@ def select(company="company", location="location", kind="employment_type", depar
 
 
 named = lambda v: f"named_struct('name', {v})"
-raw("a15_raw_lever", ats.raw_lever, lambda s, d: details(s, d, {"id": "seq", "text": "title", "company": "company", "categories": "named_struct('commitment', employment_type, 'department', origin, 'location', location)", "description": "title", "createdAt": "1700000000000 + seq"}), select(company="coalesce(company, '')", posted="CAST(1700000000000 + seq AS VARCHAR)"))
-raw("a15_raw_ashby", ats.raw_ashby, lambda s, d: details(s, d, {"title": "title", "organizationName": "company", "location": named("location"), "employmentType": "employment_type", "departmentName": "origin", "descriptionHtml": "title", "publishedAt": "posted"}), select())
-raw("a15_raw_greenhouse", ats.raw_greenhouse, lambda s, d: details(s, d, {"id": "seq", "title": "title", "company": named("company"), "location": named("location"), "offices": f"array({named(repr('A'))}, {named(repr('B'))})", "departments": f"array({named('origin')})", "metadata": "array(named_struct('value', employment_type))", "content": "title", "updated_at": "posted"}), select(location="coalesce(location, 'A, B')"))
-raw("a15_raw_smartrecruiters", ats.raw_smartrecruiters, lambda s, d: details(s, d, {"id": "seq", "name": "title", "company": named("company"), "location": "named_struct('city', location, 'country', 'de')", "employmentType": "named_struct('label', employment_type)", "department": "named_struct('label', origin)", "jobAd": "named_struct('sections', named_struct('jobDescription', named_struct('text', title)))", "releasedDate": "posted"}), select(location="concat_ws(', ', location, 'de')"))
-raw("a15_raw_workday", ats.raw_workday, lambda s, d: details(s, d, {"title": "title", "location": "location", "timeType": "employment_type", "jobDescription": "title", "startDate": "posted"}, '{"jobPostingInfo": %s}'), select(company="'acme'", location="coalesce(location, '')", department="NULL"))
-raw("a16_raw_teamtailor", ats.raw_teamtailor, lambda s, d: landed(s, d, {"id": "seq", "title": "title", "url": "url", "content_html": "title", "date_published": "posted"}, '{"items": %s}'), select(company="'careers'", location="NULL", kind="NULL", department="NULL"))
-raw("a16_raw_recruitee", ats.raw_recruitee, lambda s, d: landed(s, d, {"id": "seq", "title": "title", "location": "location", "employment_type": "employment_type", "department": "origin", "description": "title", "published_at": "posted", "url": "url"}, '{"offers": %s}'), select(company="'acme'"))
-raw("a16_raw_workable_widget", ats.raw_workable_widget, lambda s, d: landed(s, d, {"shortcode": "seq", "title": "title", "location": "named_struct('location_str', location)", "employment_type": "employment_type", "department": "origin", "description": "title", "created_at": "posted"}, '{"jobs": %s}'), select(company="'acme'"))
+raw("a15_raw_lever", ats.raw_lever, lambda s, d: details(s, d, {"id": "seq", "text": "title", "company": "company", "categories": "named_struct('commitment', employment_type, 'department', origin, 'location', location)", "description": "text2", "createdAt": "1700000000000 + seq"}), select(company="coalesce(company, '')", posted="CAST(1700000000000 + seq AS VARCHAR)", body="text2"))
+raw("a15_raw_ashby", ats.raw_ashby, lambda s, d: details(s, d, {"title": "title", "organizationName": "company", "location": named("location"), "employmentType": "employment_type", "departmentName": "origin", "descriptionHtml": "text2", "publishedAt": "posted"}), select(body="text2"))
+raw("a15_raw_greenhouse", ats.raw_greenhouse, lambda s, d: details(s, d, {"id": "seq", "title": "title", "company": named("company"), "location": named("location"), "offices": f"array({named(repr('A'))}, {named(repr('B'))})", "departments": f"array({named('origin')})", "metadata": "array(named_struct('value', employment_type))", "content": "text2", "updated_at": "posted"}), select(location="coalesce(location, 'A, B')", body="text2"))
+raw("a15_raw_smartrecruiters", ats.raw_smartrecruiters, lambda s, d: details(s, d, {"id": "seq", "name": "title", "company": named("company"), "location": "named_struct('city', location, 'country', 'de')", "employmentType": "named_struct('label', employment_type)", "department": "named_struct('label', origin)", "jobAd": "named_struct('sections', named_struct('jobDescription', named_struct('text', text2)))", "releasedDate": "posted"}), select(location="concat_ws(', ', location, 'de')", body="text2"))
+raw("a15_raw_workday", ats.raw_workday, lambda s, d: details(s, d, {"title": "title", "location": "location", "timeType": "employment_type", "jobDescription": "text2", "startDate": "posted"}, '{"jobPostingInfo": %s}'), select(company="'acme'", location="coalesce(location, '')", department="NULL", body="text2"))
+raw("a16_raw_teamtailor", ats.raw_teamtailor, lambda s, d: landed(s, d, {"id": "seq", "title": "title", "url": "url", "content_html": "text2", "date_published": "posted"}, '{"items": %s}'), select(company="'careers'", location="NULL", kind="NULL", department="NULL", body="text2"))
+raw("a16_raw_recruitee", ats.raw_recruitee, lambda s, d: landed(s, d, {"id": "seq", "title": "title", "location": "location", "employment_type": "employment_type", "department": "origin", "description": "text2", "published_at": "posted", "url": "url"}, '{"offers": %s}'), select(company="'acme'", body="text2"))
+raw("a16_raw_workable_widget", ats.raw_workable_widget, lambda s, d: landed(s, d, {"shortcode": "seq", "title": "title", "location": "named_struct('location_str', location)", "employment_type": "employment_type", "department": "origin", "description": "text2", "created_at": "posted"}, '{"jobs": %s}'), select(company="'acme'", body="text2"))
 raw("a16_raw_breezy", ats.raw_breezy, lambda s, d: landed(s, d, {"id": "seq", "name": "title", "url": "url", "location": named("location"), "type": named("employment_type"), "published_date": "posted"}), select(company="'acme'", department="NULL", body="''"))
-raw("a16_raw_pinpoint", ats.raw_pinpoint, lambda s, d: landed(s, d, {"id": "seq", "title": "title", "url": "url", "description": "title", "benefits": "'tea'", "location": "named_struct('city', location, 'name', 'HQ')", "workplace_type": "CASE WHEN seq % 2 = 0 THEN 'Remote' ELSE 'onsite' END", "employment_type_text": "employment_type"}, '{"data": %s}'), select(company="'acme'", location="CASE WHEN seq % 2 = 0 THEN 'Remote' ELSE concat_ws(', ', 'HQ', location) END", department="NULL", posted="NULL", body="title || chr(10) || '<h2>Benefits</h2>' || chr(10) || 'tea'"))
-raw("a17_raw_workable_view", ats.raw_workable_view, lambda s, d: details(s, d, {"title": "title", "company": "named_struct('title', company)", "locations": "array(location)", "employmentType": "employment_type", "department": "origin", "description": "title", "benefitsSection": "'tea'", "created": "posted"}), select(body="title || chr(10) || 'tea'"))
+raw("a16_raw_pinpoint", ats.raw_pinpoint, lambda s, d: landed(s, d, {"id": "seq", "title": "title", "url": "url", "description": "text2", "benefits": "'tea'", "location": "named_struct('city', location, 'name', 'HQ')", "workplace_type": "CASE WHEN seq % 2 = 0 THEN 'Remote' ELSE 'onsite' END", "employment_type_text": "employment_type"}, '{"data": %s}'), select(company="'acme'", location="CASE WHEN seq % 2 = 0 THEN 'Remote' ELSE concat_ws(', ', 'HQ', location) END", department="NULL", posted="NULL", body="nullif(text2, '') || chr(10) || '<h2>Benefits</h2>' || chr(10) || 'tea'"))
+raw("a17_raw_workable_view", ats.raw_workable_view, lambda s, d: details(s, d, {"title": "title", "company": "named_struct('title', company)", "locations": "array(location)", "employmentType": "employment_type", "department": "origin", "description": "text2", "benefitsSection": "'tea'", "created": "posted"}), select(body="nullif(text2, '') || chr(10) || 'tea'"))
 raw("a17_raw_join", ats.raw_join, lambda s, d: details(s, d, {"idParam": "seq", "title": "title", "company": named("company"), "employmentType": named("employment_type"), "category": named("origin"), "city": "named_struct('cityName', location)", "workplaceType": "'HYBRID'", "companyLocation": "'HQ'", "description": "'## ' || origin || '\\n* a\\n* **b**\\n\\nend'", "createdAt": "posted"}), select(location="coalesce(location || ' (Hybrid)', 'HQ')", body="'<h3>' || origin || '</h3>' || chr(10) || '<ul>' || chr(10) || '<li>a</li>' || chr(10) || '<li><strong>b</strong></li>' || chr(10) || '</ul>' || chr(10) || '<p>end</p>'"))
 
 
-@query("a16_raw_personio", f"{P} {select(company=repr('acme'))}")
+@query("a16_raw_personio", f"{P} {select(company=repr('acme'), body='text2')}")
 def _(spark, sf_dir):
     tag = lambda n, v: f"coalesce('<{n}>' || {v} || '</{n}>', '')"
-    item = f"concat('<position>', {tag('id', 'CAST(seq AS STRING)')}, {tag('office', 'location')}, {tag('department', 'origin')}, {tag('name', 'title')}, {tag('employmentType', 'employment_type')}, {tag('createdAt', 'posted')}, '<jobDescriptions><jobDescription><name>x</name><value><![CDATA[', title, ']]></value></jobDescription></jobDescriptions></position>')"
+    item = f"concat('<position>', {tag('id', 'CAST(seq AS STRING)')}, {tag('office', 'location')}, {tag('department', 'origin')}, {tag('name', 'title')}, {tag('employmentType', 'employment_type')}, {tag('createdAt', 'posted')}, '<jobDescriptions><jobDescription><name>x</name><value><![CDATA[', text2, ']]></value></jobDescription></jobDescriptions></position>')"
     made = ats.raw_personio(rss(spark, sf_dir, item))
     return made.select("title", "company", "location", "employment_type", "department", "posted", F.col("description_html").alias("body"))
 
 
+#: A posting's text as a description: a heading and a paragraph; SQL of the text that is read from it.
+_ESCAPED = "replace(replace(text2, '&', '&amp;'), '<', '&lt;')"
+_DESCRIPTION = f"concat('<h2>', heading1, '</h2><p>', {_ESCAPED}, '</p>')"
+_TWICE = f"replace(replace({_DESCRIPTION}, '&', '&amp;'), '<', '&lt;')"
+_LINE = r"trim(regexp_replace(text2, '[\s\v\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g'))"
+
+
 def ld_pages(spark, sf_dir) -> DataFrame:
-    ld = F.to_json(F.expr("named_struct('@type', 'JobPosting', 'title', title, 'hiringOrganization', named_struct('name', company), 'jobLocation', array(named_struct('address', named_struct('addressLocality', location))), 'employmentType', employment_type, 'description', '&lt;p&gt;' || heading1 || '&lt;/p&gt;', 'datePosted', posted)"))
+    ld = F.to_json(F.expr("named_struct('@type', 'JobPosting', 'title', title, 'hiringOrganization', named_struct('name', company), 'jobLocation', array(named_struct('address', named_struct('addressLocality', location))), 'employmentType', employment_type, 'description', " + _TWICE + ", 'datePosted', posted)"))
     page = F.concat(F.lit("<html><head><title>t</title><script type='application/ld+json'>not json</script><script type='application/ld+json'>"), ld, F.lit("</script></head><body><p>x</p></body></html>"))
     return postings(spark, sf_dir).select(F.col("seq").alias("page_id"), "url", page.alias("html"))
 
@@ -167,26 +177,44 @@ def _(spark, sf_dir):
     return ats.raw_from_jsonld_page(ld_pages(spark, sf_dir), "eightfold").select("page_id", "title", "company", "location", "employment_type", "posted", "position_url")
 
 
-@query("a19_discover_urls", f"""{P} SELECT 'ashby' AS source, url, min(seq) AS first FROM p GROUP BY url UNION ALL SELECT 'join', 'https://join.com/companies/acme/' || {id_}, seq FROM p UNION ALL SELECT 'workday', 'https://a.wd1.myworkdayjobs.com/s/job/' || {id_}, seq FROM p UNION ALL SELECT 'radancy', 'https://careers.acme.com/en/job/' || {id_}, seq FROM p""".replace("min(seq) AS first", "0 AS first").replace(", seq FROM p", ", 0 FROM p"))
+#: board, entry of its listing, what is around the entries, slug, SQL of the URL.
+BOARDS = [
+    ("eightfold", {"positionUrl": "CASE WHEN seq % 2 = 0 THEN '/careers/job/' || seq ELSE url END"}, '{"data": {"count": 1, "positions": %s}}', "acme", f"CASE WHEN seq % 2 = 0 THEN 'https://acme.eightfold.ai/careers/job/' || {id_} ELSE url END"),
+    ("lever", {"hostedUrl": "url"}, "%s", "acme", "url"), ("ashby", {"jobUrl": "url"}, '{"jobs": %s}', "acme", "url"), ("greenhouse", {"absolute_url": "url"}, '{"jobs": %s}', "acme", "url"), ("smartrecruiters", {"ref": "url"}, '{"content": %s}', "acme", "url"),
+    ("workday", {"externalPath": "'/' || seq"}, '{"jobPostings": %s}', "a:wd1:s", f"'https://a.wd1.myworkdayjobs.com/s/job/' || {id_}"), ("teamtailor", {"url": "url"}, '{"items": %s}', "acme", "url"),
+    ("recruitee", {"careers_url": "CASE WHEN seq % 2 = 0 THEN 'https://c.acme.com/o/' || seq END", "url": "url"}, '{"offers": %s}', "acme", f"CASE WHEN seq % 2 = 0 THEN 'https://c.acme.com/o/' || {id_} ELSE url END"),
+    ("workable", {"shortcode": "seq"}, '{"jobs": %s}', "acme", f"'https://apply.workable.com/acme/j/' || {id_} || '/'"), ("breezy", {"url": "url"}, "%s", "acme", "url"),
+    ("pinpoint", {"url": "CASE WHEN seq % 2 = 0 THEN url END", "absolute_url": "'https://p.acme.com/' || seq"}, '{"data": %s}', "acme", f"CASE WHEN seq % 2 = 0 THEN url ELSE 'https://p.acme.com/' || {id_} END"),
+    ("rippling", {"id": "seq"}, '{"jobs": %s}', "acme", f"'https://ats.rippling.com/acme/jobs/' || {id_}"), ("join", {"idParam": "seq"}, '{"items": %s}', "acme", f"'https://join.com/companies/acme/' || {id_}"),
+]
+MARKED = [("radancy", "concat('<a class=\"x search-results-list__job-link\" href=\"/en/job/', seq, '\">x</a>')", f"'https://careers.acme.com/en/job/' || {id_}"), ("personio", "concat('<position><id> ', seq, ' </id></position>')", f"'https://acme.jobs.personio.de/job/' || {id_}")]
+
+
+@query("a19_discover_urls", f"{P} " + " UNION ALL ".join(f"SELECT DISTINCT '{b}' AS source, {url} AS url FROM p" for b, url in [(b[0], b[4]) for b in BOARDS] + [(b[0], b[2]) for b in MARKED]))
 def _(spark, sf_dir):
-    one = F.array_join(F.collect_list(F.concat(F.lit('<a class="x search-results-list__job-link" href="/en/job/'), F.col("seq").cast("string"), F.lit('">x</a>'))), "")
-    radancy = postings(spark, sf_dir).groupBy(F.expr(f"seq DIV {PAGE}").alias("page")).agg(one.alias("payload")).select(F.lit("radancy").alias("source"), "payload", F.lit("careers.acme.com").alias("host"), F.lit("acme").alias("slug"))
-    every = landed(spark, sf_dir, {"jobUrl": "url"}, '{"jobs": %s}', "ashby").unionByName(landed(spark, sf_dir, {"idParam": "seq"}, '{"items": %s}', "join")).unionByName(landed(spark, sf_dir, {"externalPath": "'/' || seq"}, '{"jobPostings": %s}', "workday").withColumn("slug", F.lit("a:wd1:s"))).unionByName(radancy)
-    return ats.discover_urls(every).select("source", "url", F.lit(0).alias("first"))
+    every = [landed(spark, sf_dir, entry, wrap, board).withColumn("slug", F.lit(slug)) for board, entry, wrap, slug, _ in BOARDS]
+    for board, item, _ in MARKED:
+        made = postings(spark, sf_dir).groupBy(F.expr(f"seq DIV {PAGE}").alias("page")).agg(F.array_join(F.collect_list(F.expr(item)), "").alias("payload"))
+        every.append(made.select(F.lit(board).alias("source"), "payload", F.lit("careers.acme.com").alias("host"), F.lit("acme").alias("slug")))
+    return ats.discover_urls(reduce(DataFrame.unionByName, every)).select("source", "url")
 
 
 # --- pages ---
 
 
-@query("d1_html_text")
+_UNESCAPED = lambda x: f"replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PIECE = f"CASE WHEN regexp_matches(x, '^<script', 'i') THEN regexp_extract(x, '(?is)^<script[^>]*>(.*)</script', 1) WHEN starts_with(x, '<') THEN '' ELSE {_UNESCAPED('x')} END"
+
+
+@query("d1_html_text", f"SELECT page_id, sha256(array_to_string(list_filter(list_transform(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script\\s*>|<!--.*?-->|<[^>]*>|[^<]+'), lambda x: {_PIECE}), lambda x: regexp_replace(x, '^[\\s]+|[\\s]+$', '', 'g')), lambda x: x <> ''), ' ')) AS text_sha256 FROM pages")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(html.text_of(F.col("html"), F.lit(" ")), 256).alias("text_sha256"))
 
 
-@query("d2_parse_description", f"{P} SELECT seq, heading1 AS heading, heading1 AS text FROM p WHERE FALSE UNION ALL SELECT seq, '(intro)', heading1 FROM p")
+@query("d2_parse_description", f"{P} SELECT seq, heading1 AS heading, CASE WHEN length({_LINE}) <= 2000 THEN {_LINE} ELSE '' END AS section, trim(heading1 || ' ' || {_LINE}) AS text FROM p")
 def _(spark, sf_dir):
     made = html.pages_to_postings(ld_pages(spark, sf_dir))
-    return made.select("seq", F.get("sections", F.lit(0))["heading"].alias("heading"), F.col("full_text").alias("text"))
+    return made.select("seq", F.get("sections", F.lit(0))["heading"].alias("heading"), F.get("sections", F.lit(0))["text"].alias("section"), F.col("full_text").alias("text"))
 
 
 @query("d3_split_sections")
@@ -200,20 +228,23 @@ def _(spark, sf_dir):
     return html.pages_to_postings(ld_pages(spark, sf_dir)).select("seq", "title", "company", "location", "via")
 
 
-@query("d5_parse_embedded_json", f"{P} SELECT seq, title, CASE WHEN seq % 2 = 1 THEN company END AS company, location, heading1 AS full_text, CASE WHEN seq % 2 = 0 THEN 'embedded-next-data' ELSE 'embedded-json' END AS via FROM p")
+@query("d5_parse_embedded_json", f"{P} SELECT seq, title, CASE WHEN seq % 2 = 1 THEN company END AS company, location, trim(heading1 || ' ' || {_LINE}) AS full_text, CASE WHEN seq % 2 = 0 THEN 'embedded-next-data' ELSE 'embedded-json' END AS via FROM p")
 def _(spark, sf_dir):
-    job = "named_struct('title', title, 'locationName', location, 'descriptionHtml', '<p>' || heading1 || '</p>')"
+    job = f"named_struct('title', title, 'locationName', location, 'descriptionHtml', {_DESCRIPTION})"
     nxt = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.expr(f"named_struct('props', named_struct('list', array({job})))")), F.lit("</script>"))
     app = F.concat(F.lit("<script>var a = {}; window.__appData = "), F.to_json(F.expr(f"named_struct('organization', named_struct('name', company), 'posting', {job})")), F.lit("; run({});</script>"))
     pages = postings(spark, sf_dir).select(F.col("seq").alias("page_id"), "url", F.when(F.col("seq") % 2 == 0, nxt).otherwise(app).alias("html"))
     return html.pages_to_postings(pages).select("seq", "title", "company", "location", "full_text", "via")
 
 
-@query("d6_looks_blocked", "SELECT page_id, page_id % 3 = 0 AS blocked FROM pages")
+_VISIBLE = _UNESCAPED("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)', 1), '(?is)<script.*?</script\\s*>|<style.*?</style\\s*>|<noscript.*?</noscript\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
+_WALL = "CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '<body[^>]*>', {}) ELSE html END"
+
+
+@query("d6_looks_blocked", f"SELECT page_id, length(v) < 2000 AND {oracle.has('v', fixed.BLOCKED.replace('(?<!gre)', ''))} AS blocked FROM (SELECT page_id, trim(regexp_replace({_VISIBLE}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS v FROM (SELECT page_id, {_WALL.format(repr('<body><h1>Verify you are human</h1>'))} AS html FROM pages))")
 def _(spark, sf_dir):
-    wall = F.lit("<html><head><style>captcha</style></head><body><h1>Verify you are human</h1></body></html>")
-    calm = F.lit("<html><body><script>captcha</script><p>greCaptcha-free challenge text</p></body></html>")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, wall).otherwise(calm).alias("html"))
+    """Pages, of which each third has got a bot challenge in front."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.expr(_WALL.format("'<body><h1>Verify you are human</h1>'")))
     return html.pages_to_postings(pages).select(F.col("seq").alias("page_id"), text.looks_blocked(F.col("visible")).alias("blocked"))
 
 
@@ -233,10 +264,31 @@ def _(spark, sf_dir):
     return spark.read.schema("rank long, seq long, score int").json(path)
 
 
-@query("j11_run_pipeline")
-def _(spark, sf_dir):
-    out = run_pipeline(postings(spark, sf_dir), PROFILE, as_of(), least_score=45, reposts=True, exclude_keywords="data", max_age=400)
-    return out.select("rank", "seq", "title", "company", "score", "repost_of", "error")
+_DEDUPED = f"""{catalog._WATCH.replace('run AS (SELECT * FROM kk WHERE seq % 3 <> 1)', f"""fpr AS (SELECT seq AS fseq, fingerprint FROM ({catalog._FP} SELECT seq, fingerprint FROM fp)),
+u AS (SELECT kk.*, {oracle.canon('url')} AS ck, fingerprint FROM kk JOIN fpr ON fseq = seq QUALIFY row_number() OVER (PARTITION BY ck ORDER BY seq) = 1),
+dd AS (SELECT * FROM u QUALIFY failed OR company_key = '' OR title_key = '' OR row_number() OVER (PARTITION BY failed, company_key, title_key ORDER BY coalesce(score, -1) DESC, seq) = 1),
+run AS (SELECT * FROM dd WHERE failed OR (NOT contains(lower(title), 'data') AND (age_days IS NULL OR age_days <= 400) AND score >= 45))""")}"""
+_HISTORY = f"SELECT fingerprint, arg_min(url, seq) AS old_url FROM ({catalog._FP} SELECT seq, url, fingerprint FROM fp) WHERE seq % 4 = 1 AND fingerprint IS NOT NULL GROUP BY 1"
+_APPLIED = f"{catalog._EVENTS} SELECT url, status FROM app"
+_ROLES = f"{catalog._SWEEP} SELECT {oracle.canon('url')} AS k, arg_min(role, role_seq) AS role FROM h GROUP BY 1"
 
 
-__all__ = ["run_pipeline"]
+@query("j11_run_pipeline", f"""{_DEDUPED}, hist AS ({_HISTORY}), app AS ({_APPLIED}), roles AS ({_ROLES}), t AS (SELECT lower(url) AS line, {oracle.canon('lower(url)')} AS k FROM p WHERE seq % 50 = 3), lk AS (SELECT DISTINCT {oracle.canon('lower(url)')} AS k FROM run), tracked AS (SELECT k FROM t UNION SELECT lk.k FROM lk JOIN t ON contains(t.line, lk.k))
+SELECT row_number() OVER (ORDER BY coalesce(score, -1) DESC, run.seq) AS rank, run.seq, run.title, run.company, score, error, CASE WHEN run.ck IS NOT NULL AND old_url <> run.url THEN old_url END AS repost_of_closed,
+coalesce(NOT m.known AND m.first_seq = run.seq, FALSE) AS is_new, app.status AS application_status, roles.role AS search_role, CASE WHEN tracked.k IS NOT NULL THEN 'applied' END AS tracker_status
+FROM run JOIN m ON m.key = run.key LEFT JOIN hist ON hist.fingerprint = run.fingerprint LEFT JOIN app ON app.url = run.ck LEFT JOIN roles ON roles.k = run.ck LEFT JOIN tracked ON tracked.k = {oracle.canon('lower(run.url)')}""")
+def _(spark, sf_dir):
+    """The flow with all steps on but the fuzzy one, which SQL cannot express; its state, history, statistics and counters are queries of their own."""
+    raw = postings(spark, sf_dir)
+    full = catalog.enriched(spark, sf_dir)
+    old = full.where("seq % 4 = 1").select("url", F.lit(1).cast("long").alias("rank"), "seq", "score", "title", F.lit(0).alias("live"), dedupe.content_fingerprint(full).alias("fingerprint"), F.lit("2024-05-01").cast("timestamp").alias("first_seen"), F.lit("2024-05-01").cast("timestamp").alias("last_seen"), F.lit(1).cast("long").alias("scrape_count"))
+    tracker = raw.where("seq % 50 = 3").select(F.concat(F.lit("<"), "url", F.lit(">")).alias("line"))
+    roles = cards_of.role_sweep(catalog.card_rows(spark, sf_dir), catalog.role_rows(spark))[0]
+    run = run_flow(
+        raw, PROFILE, as_of(), least_score=45, reposts=True, tracker=tracker, watch=catalog._watch_before(spark, sf_dir), today=catalog.TODAY, history=old, applications=catalog.applications(spark, sf_dir), url_roles=roles,
+        attempts=raw.select("url", F.lit(1.0).alias("duration_ms")), exclude_keywords="data", max_age=400,
+    )
+    return run.postings.select("rank", "seq", "title", "company", "score", "error", "repost_of_closed", "is_new", "application_status", "search_role", "tracker_status")
+
+
+__all__ = ["run_flow"]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.urls import canonicalize_url, strip
 from .feeds import entries, known
+from .html import json_ld_posting, parse, read_rows
 
 RAW = ["title", "company", "location", "employment_type", "department", "description_html", "posted", "salary_hits_extra", "position_url", "item_id", "source"]
 
@@ -157,19 +158,16 @@ def raw_join(landed: DataFrame) -> DataFrame:
 
 def raw_from_jsonld_page(pages: DataFrame, source: str) -> DataFrame:
     """Raw postings of landed pages (page_id, url, html) that carry structured data."""
-    from .html import json_ld_posting, parse
-
     names = ["title", "company", "location", "employment_type", "description_html", "posted"]
+    schema = T.StructType().add("page_id", "long")
+    for name in [*names, "position_url", "source"]:
+        schema = schema.add(name, "string")
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for page, url, blob in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                if found := json_ld_posting(parse(blob)):
-                    out.append((page, *[None if found[n] is None else str(found[n]) for n in names], url, source))
-            yield pd.DataFrame(out, columns=["page_id", *names, "position_url", "source"])
+    def read(page: int, url: str | None, text: str | None):
+        if found := json_ld_posting(parse(text)):
+            yield {"page_id": page, **{n: None if found[n] is None else str(found[n]) for n in names}, "position_url": url, "source": source}
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, " + ", ".join(f"{n} string" for n in [*names, "position_url", "source"]))
+    return read_rows(pages.select("page_id", "url", "html"), read, schema)
 
 
 def join_by_url(raw: DataFrame, urls: DataFrame) -> DataFrame:

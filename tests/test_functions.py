@@ -120,3 +120,23 @@ def test_profile_problems():
 @pytest.mark.parametrize(("value", "want"), [("1700000000", "2023-11-14T22:13:20Z"), ("x", None), (None, None)])
 def test_epoch(spark, value, want):
     assert one(spark, text.epoch_to_iso(F.col("v")), [(value,)], "v string") == [want]
+
+
+def test_literals_rule_out_nothing(spark):
+    import random
+    import re
+
+    from postmill.functions import fixed, literals
+
+    assert literals.needed(r"\b(5|6)\s*\+\s*(?:years?|yrs?)\b") == [["year", "yr"], ["5", "6"]] and literals.needed(r"a*b?") == [] and literals.needed("(?:ab|cd+)e") == [["ab", "cd"]]
+    patterns = [v for v in vars(fixed).values() if isinstance(v, str) and ("|" in v or "\\" in v)] + [p for t in (fixed.TEXT_LEVELS, fixed.TITLE_LEVELS, fixed.JOB_TYPE_HINTS) for _, p in t]
+    rng, words = random.Random(1), {w for p in patterns for w in re.findall(r"[a-z]+|[0-9$€£₹+.&-]", re.sub(r"\\.", " ", p.lower()))}
+    for p in patterns:
+        rx = re.compile(p, re.IGNORECASE)
+        for _ in range(300):
+            blob = "".join(rng.choice(sorted(words)) + rng.choice(["", " "]) for _ in range(12))
+            assert not rx.search(blob) or all(any(w in blob.lower() for w in ws) for ws in literals.needed(p))
+    rows = [("5+ YEARſ of EXPERıENCE",), ("Remote; 7+ years; visa ſponsorship",), ("",), (None,)]
+    low = text.folded(F.col("t"))
+    for p in (fixed.SPONSORSHIP, fixed.EXPERIENCE, fixed.TEXT_LEVELS[4][1]):
+        assert one(spark, text.has(F.col("t"), p, low), rows, "t string") == one(spark, text.has(F.col("t"), p), rows, "t string")

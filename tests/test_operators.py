@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import scoring
 from postmill.operators import cards, dedupe, filters, report, state
 
 ROW = "seq long, url string, company string, title string, location string, score int, error string"
@@ -176,8 +177,7 @@ def test_cards(spark):
 def test_tracker(spark):
     df = posts(spark, [("A", "x", None, 1, None)] * 3).withColumn("url", F.element_at(F.array(F.lit("https://a.com/Jobs/1?utm_source=x"), F.lit("https://a.com/jobs/2"), F.lit("https://b.com/3")), (F.col("seq") + 1).cast("int")))
     lines = spark.createDataFrame([("sent to <https://A.com/jobs/1>",), ("also https://a.com/jobs/22",)], "line string")
-    status = lambda n: {r.seq: r.tracker_status for r in filters.check_tracker(df, lines, n).collect()}
-    assert status(10**6) == {0: "applied", 1: "applied", 2: None} and status(0) == {0: "applied", 1: None, 2: None}
+    assert {r.seq: r.tracker_status for r in filters.check_tracker(df, lines).collect()} == {0: "applied", 1: "applied", 2: None}
 
 
 def test_tracker_of_any_size_is_searched_whole(spark):
@@ -189,3 +189,25 @@ def test_tracker_of_any_size_is_searched_whole(spark):
     assert got == {i: "applied" if i < len(held) else None for i in range(len(held + other))}
     assert filters.check_tracker(df, spark.createDataFrame([], "line string")).where("tracker_status is not null").isEmpty()
     assert filters.check_tracker(df.limit(0), spark.createDataFrame([("https://a.com",)], "line string")).isEmpty()
+
+
+def test_whole_flow_over_two_runs(spark):
+    from postmill.plans import adapters, pipeline
+
+    raw = adapters.postings(spark, "/root/testdata/sf0.001")
+    watch = spark.createDataFrame([], "key string, url string, title string, first_seen date, closed_since date")
+    history = spark.createDataFrame([], "url string, rank long, seq long, score int, title string, live int, fingerprint string, first_seen timestamp, last_seen timestamp, scrape_count long")
+    go = lambda rows, watch, history, day, **more: pipeline.run_flow(rows, scoring.PROFILE, adapters.as_of(), fuzzy=True, reposts=True, least_score=30, watch=watch, history=history, today=day, attempts=rows.select("url", F.lit(2.0).alias("duration_ms")), **more)
+    tracker = raw.where("seq = 7").select(F.concat(F.lit("sent "), "url").alias("line"))
+    first = go(raw, watch, history, "2024-06-01", tracker=tracker, exclude_keywords="intern")
+    rows, counts = first.postings.collect(), first.counters.first()
+    assert [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, len(rows) + 1))
+    assert counts.after == len(rows) < counts.before and counts.errored == sum(bool(r.error) for r in rows) and counts.scored == sum(r.score is not None for r in rows)
+    assert counts.merged == sum(bool(r.merged_urls) for r in rows) > 0 and counts.new == sum(r.is_new for r in rows) > 0 and counts.closed == 0 and counts.reposts == 0
+    assert {r.seq for r in rows if r.tracker_status} <= {7} and sum(r.attempted for r in first.sources.collect()) == raw.count()
+    # half of the postings are gone the next time, and history knows those that were closed
+    old = first.history.withColumn("live", F.lit(0)).withColumn("url", F.concat(F.lit("https://old.com/"), "seq"))
+    second = go(raw.where("seq % 2 = 0"), first.watch, old, "2024-06-15", exclude_keywords="intern")
+    rows, counts = second.postings.collect(), second.counters.first()
+    assert counts.closed == second.closed.count() > 0 and counts.reposts == sum(bool(r.repost_of_closed) for r in rows) > 0
+    assert second.history.count() == old.count() + len({r.url for r in rows})
