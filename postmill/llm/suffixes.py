@@ -250,16 +250,16 @@ def remove_repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     parsed = whole.join(others, ["doc", "tid"], "left_anti")
 
     shared = table(_phrase_rows(parsed, False).groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short"), "shared")
-    phrases = table(_phrase_rows(parsed, True).join(few(shared, BROADCAST_ROWS), "short"), "phrases")
+    phrases = table(_phrase_rows(parsed, True).join(shared, "short"), "phrases")
     dictionary = table(phrases.groupBy("short", "a").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc", "tid", "first", "last")]), "dictionary")
     sizes = table(dictionary.groupBy("short").agg(F.min("times").alias("rarest"), F.count("*").alias("n")).where("rarest = 1").select("short", "n"), "undecided")
-    undecided = dictionary.join(few(sizes, BROADCAST_ROWS), "short")
+    undecided = dictionary.join(sizes, "short")
     lone = _ordered(whole, undecided.where(F.col("n") <= many))
     large = undecided.where(F.col("n") > many)
     if not sizes.where(F.col("n") > many).isEmpty():
         lone = lone.unionByName(_counted(whole, large))
     twice = table(dictionary.where("times > 1").select("short", "a"), "twice")
-    sure = phrases.join(few(twice, BROADCAST_ROWS), ["short", "a"]).select("doc", "tid", "first", "last")
+    sure = phrases.join(twice, ["short", "a"]).select("doc", "tid", "first", "last")
     entire = copies.select("doc", "tid", F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     gone = table(lone.unionByName(sure).unionByName(entire).groupBy("doc", "tid").agg(F.collect_set(F.struct("first", "last")).alias("gone")), "gone")
     judged = whole.join(gone, ["doc", "tid"], "left").select("doc_id", "gone", "text")
