@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, components, texts
+from .common import by_batch, components, scratch, table, texts
 
 BLOCKS, DISTANCE, DENSE, SHINGLE = 5, 2, 32, 3
 
@@ -75,7 +75,7 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, dense: int = DENSE) -> DataFra
     masks = _masks(blocks, DISTANCE)
     keyed = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.lit(m).alias("mask")) for k, m in enumerate(masks)])).alias("x"))
     keyed = keyed.select("node", "fp", "x.t", "x.mask", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = table(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "blocks")  # written, so that Spark can split a block that many rows share
     members = keyed.join(shared, ["t", "key"])
     few, many = members.where(F.col("n") <= dense), members.where(F.col("n") > dense)
     left, right = few.select("t", "key", F.col("node").alias("a"), F.col("fp").alias("x")), few.select("t", "key", F.col("node").alias("b"), F.col("fp").alias("y"))
@@ -90,14 +90,12 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, dense: int = DENSE) -> DataFra
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text, ...)."""
     spark: SparkSession = docs.sparkSession
-    from .common import scratch
-
     path = scratch(spark, "fingerprints")
     fingerprints(docs, shingle).write.parquet(path)  # texts are read once; what follows works on 16 bytes a document
     fps = spark.read.parquet(path)
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
     linked = components(links(nodes.where("node is not null"), blocks))
-    named = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = table(nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
     return fps.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
