@@ -3,7 +3,7 @@
 Writing: a record's block is an HTTP response whose body is in chunked transfer framing (a revisit has headers only). Blocks longer
 than SEGMENT bytes become segments: the first record is number 1, continuation records name it as their origin, the last one states the
 total length. Spark's text writer writes the files, its line separator being WARC's end of record, so that any file system Spark knows will do;
-files are gzipped and hold at most FILE_RECORDS records each, as a reader takes a file whole.
+files are gzipped and hold at most FILE_RECORDS records each, so at most FILE_RECORDS * SEGMENT bytes of blocks (66 MB) beside their headers, as a reader takes a file whole.
 
 Reading: files come from Spark's binary reader and are cut into records by their Content-Length. Whole records go straight on. Segments are grouped
 by origin identifier and ordered by number; a block is accepted if numbers run from 1 without gaps and its length is the stated total. Then
