@@ -111,7 +111,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, row: Column | N
     some = small.where("fill = 'some'").withColumn("extra", F.col("before") + inner + F.col("size") / 2 <= F.col("quota"))
     decided = small.where("fill <> 'some'").withColumn("extra", F.col("fill") == "all")
     keep = [*own, "doc_id", "source", "size", "source_size", "target", "key", "whole", "extra"]
-    taken = table(large.select(keep).unionByName(decided.select(keep)).unionByName(some.select(keep)).withColumn("copies", F.col("whole") + F.col("extra").cast("int")), "taken")
+    taken = table(large.select(keep).unionByName(decided.select(keep)).unionByName(some.select(keep)).withColumn("copies", F.least(F.lit(2), F.col("whole") + F.col("extra").cast("int"))), "taken")  # a row without words costs nothing, but is taken twice at most
     # block draws of 256 blocks a source: each whole pass draws all of its blocks, the partial pass those it reaches
     passes = taken.withColumn("block", F.substring("key", 1, 2)).groupBy("source", "block").agg(F.max("copies").alias("n"))
     draws = passes.where("n > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pass"))
