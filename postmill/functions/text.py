@@ -1,5 +1,6 @@
 """What a posting's text says: section buckets, skills, years, salary, signals, liveness, age, job type and seniority."""
 
+import re
 from collections.abc import Sequence
 from functools import cache, reduce
 from operator import and_, or_
@@ -72,12 +73,17 @@ def extract_benefits(sections: Column) -> Column:
 
 
 def find_skills(text: Column, extra: Sequence[str] = (), low: Column | None = None) -> Column:
-    """Vocabulary terms found, in vocabulary order; none counts that touches a letter."""
+    """Vocabulary terms found, in vocabulary order; none counts that touches a letter.
+
+    A term's first run of letters stands in such a text between other characters, so the runs of the text rule most terms out at once."""
     vocabulary = fixed.SKILLS + [s for s in extra if s not in fixed.SKILLS]
     quoted = lambda s: "".join(f"\\{c}" if c in r"\.+*?()[]{}|^$&/-#~" else c for c in s)
-    held = lambda low, s: F.contains(low, F.lit(s.lower())) & has(text, f"(?<![A-Za-z]){quoted(s)}(?![A-Za-z])")  # noqa: E731  a plain search rules most terms out
-    terms = lambda low: F.array_compact(F.array(*[F.when(held(low, s), F.lit(s)) for s in vocabulary]))
-    return let(F.lower(F.coalesce(text, F.lit(""))), terms) if low is None else terms(low)
+    first = {s: re.search("[a-z]+", s.lower()) for s in vocabulary}
+    first = {s: m[0] for s, m in first.items() if m and s.lower().isascii()}
+    low = folded(text) if low is None else low
+    runs = F.array_intersect(F.split(low, "[^a-z]+"), F.array(*map(F.lit, sorted(set(first.values())))))
+    held = lambda met, s: (F.array_contains(met, first[s]) if s in first else F.lit(True)) & has(text, f"(?<![A-Za-z]){quoted(s)}(?![A-Za-z])")
+    return let(runs, lambda met: F.array_compact(F.array(*[F.when(held(met, s), F.lit(s)) for s in vocabulary])))
 
 
 def find_experience(text: Column, low: Column | None = None) -> Column:

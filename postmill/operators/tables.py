@@ -19,6 +19,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, dealt out anew if it comes in fewer partitions than there are cores: work on whole texts would else wait for a few tasks. A large table stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def materialise(df: DataFrame, name: str = "rows") -> DataFrame:
     """Rows written as Parquet and read back: costly expressions run once, and lineage ends here."""
     path = shared_path(df.sparkSession, name)

@@ -6,6 +6,8 @@ The tables hold no job vocabulary, so titles, places, dates and phrases are pick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import spread
+
 AS_OF = "2024-06-15 12:00:00"
 
 
@@ -51,7 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw postings: one row per document."""
-    made = spark.sql(POSTINGS.replace("FROM documents d", "FROM {documents} d"), documents=table(spark, sf_dir, "documents"))
+    made = spark.sql(POSTINGS.replace("FROM documents d", "FROM {documents} d"), documents=spread(table(spark, sf_dir, "documents")))
     section = lambda k: F.struct(F.col(f"heading{k}").alias("heading"), F.col(f"text{k}").alias("text"))
     return made.withColumn("sections", F.array(section(1), section(2))).withColumn("full_text", F.expr(FULL_TEXT)).withColumn("raw_types", F.array("employment_type"))
 
