@@ -53,6 +53,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder under the shared one, of tables that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{path}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def few(df: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast if it has at most so many rows. df is counted, so it should be a written table."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
