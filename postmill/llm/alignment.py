@@ -9,13 +9,14 @@ Per document Spark then holds its distinct linked id pairs with how often each o
 Counts come back to the documents in slices of at most SLICE_PAIRS pairs, each broadcast by itself (24 bytes a pair) whatever the number of slices, and documents add up what slices give. Nothing is joined by a pair, as a hot one is in nearly all documents.
 
 Defined cases: null and empty texts, and texts whose tokens of either side don't write exactly the space and the text (one that holds U+2581, say), have no tokens: zeros and an empty string. Null and repeated ids are
-documents of their own, and so are repeated texts. Other columns are not read. Very long texts are aligned part by part (about 100 bytes of memory for each byte of a part of PART_BYTES, and 100 for each word of
+documents of their own, and so are repeated texts. Other columns are not read. Very long texts are aligned part by part (about 200 bytes of memory for each of a part's PART_TOKENS tokens, and 100 for each word of
 the text); a stretch without a place to cut is one part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -32,9 +33,9 @@ from .common import scratch, table
 from .pieces import MARK, ChunkTable, model_bytes
 
 #: Chunks that a task's table holds before it is emptied, and the longest that it keeps and gives to the quicker of A's encoders.
-TABLE_ROWS, LONG_CHUNK = 400_000, 300
-#: Text that is aligned at once, distinct pairs that a task counts at once, and pairs in one broadcast slice of the counts.
-PART_BYTES, COUNT_PAIRS, SLICE_PAIRS = 1 << 20, 1 << 21, 1 << 21
+TABLE_ROWS, TABLE_IDS, LONG_CHUNK = 600_000, 8_000_000, 300
+#: Words that A's quicker encoder is given in one call, tokens that are aligned at once, distinct pairs that a task counts at once, and pairs in one broadcast slice of the counts.
+RUN_WORDS, PART_TOKENS, COUNT_PAIRS, SLICE_PAIRS = 2000, 1 << 18, 1 << 21, 1 << 21
 SIGN = re.compile("[!-~À-ɏ]")
 
 
@@ -45,6 +46,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """word -> number, given at the first look-up; new holds words not encoded yet. -1: a word that may not stand by itself."""
+
+    def __init__(self):
+        super().__init__()
+        self.new, self.next = [], 0
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONG_CHUNK or not SIGN.match(word):
+            return -1
+        self.new.append(word)
+        self[word] = self.next
+        self.next += 1
+        return self.next - 1
+
+
 class Aligner:
     """Both tokenizers, their tokens' bytes and the table of chunks."""
 
@@ -67,8 +84,13 @@ class Aligner:
         byte_level = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space")
         self.exact = byte_level and pieces.exact
         self.quick = self._ranks(spec) if byte_level else None
-        self.table: dict[str, tuple[bytes, bytes] | None] = {}
-        self.odd: dict[str, tuple[bytes, bytes] | None] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """Empties the table: chunk -> number, and by number where its ids lie on either side, and whether both sides write its bytes."""
+        self.table, self.odd = _Words(), {}
+        self.pools = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.begins, self.good = [np.zeros(1, np.int64), np.zeros(1, np.int64)], np.zeros(0, bool)
 
     def _ranks(self, spec: dict):
         """A faster encoder of the same vocabulary, where ids number the 256 bytes and then the merges in order."""
@@ -83,52 +105,85 @@ class Aligner:
             return None
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides of a space and each chunk, packed; None if either side writes other bytes."""
-        short = [c for c in chunks if len(c) <= LONG_CHUNK] if self.quick else []
-        long = [c for c in chunks if len(c) > LONG_CHUNK] if self.quick else chunks
-        a = {c: self.quick.encode_ordinary(" " + c) for c in short}
-        a |= {c: x.ids for c, x in zip(long, self.a.encode_batch([" " + c for c in long], add_special_tokens=False), strict=True)}
-        out = []
-        for c, b in zip(chunks, self.b.encode(chunks, num_threads=1), strict=True):
-            own = b" " + c.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a[c])) == own == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((np.array(a[c], "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None)
-        return out
-
-    def _chunks(self, text: str) -> tuple[list[str], bool]:
-        """Chunks of a text, each without the space before it, and whether all are words that may stand anywhere."""
-        words = text.split(" ")
+    def _same(self, own: str, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == (b" " + own.encode()) == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _add(self, chunks: list[str], a: list[list[int]], b: list[list[int]], good: list[bool]) -> None:
+        """Encoded chunks join the table's arrays."""
+        for k, ids in ((0, a), (1, b)):
+            sizes = [len(x) for x in ids]
+            self.pools[k] = np.concatenate([self.pools[k], np.array(list(itertools.chain.from_iterable(ids)), np.int64)])
+            self.begins[k] = np.append(self.begins[k], self.begins[k][-1] + np.cumsum(sizes))
+        self.good = np.append(self.good, np.array(good, bool))
+
+    def _encode(self, chunks: list[str]) -> None:
+        """Each chunk by itself, with a space before it."""
+        a = [x.ids for x in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
+        b = self.b.encode(chunks, num_threads=1)
+        self._add(chunks, a, b, [self._same(*x) for x in zip(chunks, a, b, strict=True)])
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words that may follow each other: many in one call, as tokens don't reach across their fronts."""
+        for begin in range(0, len(words), RUN_WORDS):
+            own = words[begin : begin + RUN_WORDS]
+            run = " ".join(own)
+            a, b = self.quick.encode_ordinary(" " + run), self.b.encode(run)
+            ends = np.cumsum([1 + len(w.encode()) for w in own])
+            if not (self.quick.decode_bytes(a) == b" " + run.encode() == b"".join(map(self.b_bytes.__getitem__, b))):
+                self._encode(own)
+                continue
+            cuts = []
+            for ids, lengths in ((a, self.a_length), (b, self.b_length)):
+                reached = np.cumsum(lengths[ids])
+                cut = np.searchsorted(reached, ends)
+                assert (reached[cut] == ends).all()
+                cuts.append(cut + 1)
+            for k, ids in ((0, a), (1, b)):
+                self.begins[k] = np.append(self.begins[k], self.begins[k][-1] + cuts[k])
+                self.pools[k] = np.append(self.pools[k], np.array(ids, np.int64))
+            self.good = np.append(self.good, np.ones(len(own), bool))
+
+    def _merged(self, words: list[str]) -> list[str]:
+        """Chunks of a text whose words may not all stand by themselves."""
         if not self.exact:
-            return [text], False
-        table = self.table
-        if all(w in table or SIGN.match(w) for w in words):
-            return words, True
+            return [" ".join(words)]
         out = [[words[0]]]
         for before, w in zip(words, words[1:], strict=False):
             if before and SIGN.match(w):
                 out.append([w])
             else:
                 out[-1].append(w)
-        return [" ".join(c) for c in out], False
-
-    def tokens(self, texts: list[str]) -> list[list[tuple[bytes, bytes]] | None]:
-        """Encoded chunks of each text; None where it has no tokens."""
-        if len(self.table) > TABLE_ROWS or len(self.odd) > TABLE_ROWS:
-            self.table.clear()
-            self.odd.clear()
-        split = [self._chunks(t) if t else ([], True) for t in texts]
-        extra = {}
-        for plain, known in ((True, self.table), (False, self.odd)):
-            new = list({c for chunks, kind in split if kind == plain for c in chunks if c not in known})
-            for c, x in zip(new, self._encode(new), strict=True):
-                (known if len(c) <= LONG_CHUNK else extra)[(c, plain) if len(c) > LONG_CHUNK else c] = x
-        out = []
-        for chunks, plain in split:
-            known = self.table if plain else self.odd
-            found = [known[c] if c in known else extra[(c, plain)] for c in chunks] if extra else [known[c] for c in chunks]
-            out.append(found if found and None not in found else None)
-        return out
+        return [" ".join(c) for c in out]
+
+    def tokens(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of each text's chunks in the table; none where it has no tokens."""
+        if len(self.good) > TABLE_ROWS or len(self.pools[0]) + len(self.pools[1]) > TABLE_IDS:
+            self._clear()
+        table, odd = self.table, {}
+        split = [t.split(" ") if t else [] for t in texts]
+        found = [list(map(table.__getitem__, words)) for words in split]
+        if table.new:
+            (self._encode_words if self.quick else self._encode)(table.new)
+            table.new = []
+        for k, words in enumerate(split):
+            if -1 in found[k] or not self.exact:
+                odd[k] = self._merged(words)
+        new = list({c for chunks in odd.values() for c in chunks if c not in self.odd})
+        if new:
+            self.odd |= {c: table.next + k for k, c in enumerate(new)}
+            table.next += len(new)
+            self._encode(new)
+        for k, chunks in odd.items():
+            found[k] = [self.odd[c] for c in chunks]
+        numbers = [np.array(own, np.int64) for own in found]
+        return [at if self.good[at].all() else at[:0] for at in numbers]
+
+    def ids(self, side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many for each chunk) of chunks in order."""
+        begins = self.begins[side][at]
+        sizes = self.begins[side][at + 1] - begins
+        ends = np.cumsum(sizes)
+        return self.pools[side][np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1])], sizes
 
 
 @lru_cache(maxsize=2)
@@ -136,18 +191,21 @@ def _aligner(a_json: str, b_model: bytes) -> Aligner:
     return Aligner(a_json, b_model)
 
 
-def overlaps(doc_a: np.ndarray, len_a: np.ndarray, doc_b: np.ndarray, len_b: np.ndarray) -> pd.DataFrame:
-    """(doc, a, b, end_a, end_b): pairs of places of tokens whose bytes overlap. Documents follow each other; a document has as many bytes on either side."""
+def overlaps(doc_a: np.ndarray, len_a: np.ndarray, doc_b: np.ndarray, len_b: np.ndarray) -> np.ndarray:
+    """(place of A's token, place of B's token, end of A's, end of B's) of all pairs of tokens whose bytes overlap. Documents follow each other; a document has as many bytes on either side."""
     end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
     a = pd.DataFrame({"doc": doc_a, "at": end_a - len_a, "a": np.arange(len(len_a)), "end_a": end_a})
     b = pd.DataFrame({"doc": doc_b, "at": end_b - len_b, "b": np.arange(len(len_b)), "end_b": end_b})
-    both = pd.concat([pd.merge_asof(a, b, on="at", by="doc"), pd.merge_asof(b, a, on="at", by="doc")])
-    return both.drop_duplicates(["a", "b"])[["doc", "a", "b", "end_a", "end_b"]]
+    by_a, by_b = pd.merge_asof(a, b, on="at", by="doc"), pd.merge_asof(b, a, on="at", by="doc")
+    # tokens that begin together were found from A's side
+    later = by_b["at"].to_numpy() > (end_a - len_a)[by_b["a"].to_numpy()]
+    columns = ["a", "b", "end_a", "end_b"]
+    return np.array([np.concatenate([by_a[c].to_numpy(), by_b[c].to_numpy()[later]]) for c in columns])
 
 
-def groups(len_a: np.ndarray, len_b: np.ndarray, pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def groups(len_a: np.ndarray, len_b: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group of each token of A and of B: overlaps with equal ends close groups."""
-    closed = np.sort(pairs["end_a"].to_numpy()[(pairs["end_a"] == pairs["end_b"]).to_numpy()])
+    closed = np.sort(pairs[2][pairs[2] == pairs[3]])
     return np.searchsorted(closed, np.cumsum(len_a)), np.searchsorted(closed, np.cumsum(len_b))
 
 
@@ -173,14 +231,13 @@ def _digits(n: int) -> list[bytes]:
     return [b"%d" % i + s for s in (b",", b"|", b";") for i in range(n)]
 
 
-def _part(aligner: Aligner, docs: list[_Document], chunks: list[tuple[int, list[tuple[bytes, bytes]]]]) -> None:
+def _part(aligner: Aligner, docs: list[_Document], chunks: list[tuple[int, np.ndarray]]) -> None:
     """Aligns one part's tokens (place of the document, its chunks) and adds them to the documents."""
-    whose = np.array([d for d, _ in chunks])
-    sides = []
+    whose, at = np.array([d for d, _ in chunks]), np.concatenate([c for _, c in chunks])
+    of_chunk, sides = np.repeat(whose, [len(c) for _, c in chunks]), []
     for side, lengths in ((0, aligner.a_length), (1, aligner.b_length)):
-        packed = [b"".join([c[side] for c in own]) for _, own in chunks]
-        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
-        sides.append((np.repeat(whose, [len(p) // 4 for p in packed]), ids, lengths[ids]))
+        ids, sizes = aligner.ids(side, at)
+        sides.append((np.repeat(of_chunk, sizes), ids, lengths[ids]))
     (doc_a, a, len_a), (doc_b, b, len_b) = sides
     group_a, group_b = groups(len_a, len_b, overlaps(doc_a, len_a, doc_b, len_b))
     n = int(group_a[-1]) + 1
@@ -227,17 +284,19 @@ def _part(aligner: Aligner, docs: list[_Document], chunks: list[tuple[int, list[
 def align_texts(aligner: Aligner, texts: list[str]) -> list[_Document]:
     """One record for each text."""
     docs, part, size = [_Document() for _ in texts], [], 0
-    for begin in range(0, len(texts), 50):
-        for d, found in enumerate(aligner.tokens(texts[begin : begin + 50]), begin):
-            at = 0
-            for k, c in enumerate(found or ()):
-                size += len(c[0]) + len(c[1])  # four bytes a token, about as many as it writes
-                if size > 2 * PART_BYTES:
-                    part.append((d, found[at : k + 1]))
-                    _part(aligner, docs, part)
-                    part, size, at = [], 0, k + 1
-            if found and at < len(found):
-                part.append((d, found[at:]))
+    for d, found in enumerate(aligner.tokens(texts)):
+        # tokens of both sides up to each chunk, about the bytes they write
+        reached = np.cumsum(aligner.begins[0][found + 1] - aligner.begins[0][found] + aligner.begins[1][found + 1] - aligner.begins[1][found])
+        begin = 0
+        while begin < len(found):
+            before = reached[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(reached, before + PART_TOKENS - size, "right")))
+            part.append((d, found[begin:end]))
+            size += int(reached[end - 1] - before)
+            begin = end
+            if size >= PART_TOKENS or begin < len(found):
+                _part(aligner, docs, part)
+                part, size = [], 0
     if part:
         _part(aligner, docs, part)
     return docs

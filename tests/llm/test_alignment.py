@@ -102,7 +102,7 @@ def test_parts_of_long_texts(monkeypatch):
     text = "Some words, and others; naïve ones too.\n" * 400 + "w" * 3000 + "\n end"
     want = wanted(text)
     for size in (1, 300, 5000):
-        monkeypatch.setattr(alignment, "PART_BYTES", size)
+        monkeypatch.setattr(alignment, "PART_TOKENS", size)
         assert record(text) == want
     monkeypatch.setattr(alignment, "TABLE_ROWS", 1)
     assert record(text) == want
