@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed, text
 from ..functions.urls import canonicalize_url
-from .tables import shared_path
+from .links import components
+from .titles import alike, distinct_titles
 
 
 def failed() -> Column:
@@ -72,74 +68,9 @@ def flag_historical_reposts(df: DataFrame, closed: DataFrame) -> DataFrame:
 # fuzzy titles
 
 
-WORD = re.compile("[a-z0-9]+")
-#: From this length on difflib leaves out frequent characters, and the closed forms below no longer hold.
-JUNK_CHARS = 200
-
-
-def title_similarity(a: str | None, b: str | None) -> float:
-    """How alike two titles are, from 0 to 1, by their sets of tokens; 1 if all tokens of one lie in the other.
-
-    The shared tokens in order begin each title written as shared tokens, then the rest. Of a text and a beginning of it the ratio is known from their lengths,
-    so only the two sorted titles are compared by difflib."""
-    x, y = (set(WORD.findall((s or "").lower())) for s in (a, b))
-    if not x or not y:
-        return 0.0
-    line = lambda tokens: " ".join(sorted(tokens))
-    ratio = lambda p, q: difflib.SequenceMatcher(None, p, q).ratio()
-    shared, titles = line(x & y), [line(x), line(y)]
-    if max(map(len, titles)) < JUNK_CHARS:
-        begins = [2.0 * len(shared) / (len(shared) + len(t)) for t in titles]
-    else:
-        begins = [ratio(shared, " ".join(filter(None, [shared, line(own - (x & y))]))) for own in (x, y)]
-    return max(*begins, ratio(*titles))
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([title_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def _at_most(a: Column, b: Column) -> Column:
-    """An upper bound of the similarity from shared tokens and characters, in built-in expressions: pairs below the threshold never reach Python."""
-    tokens = lambda c: F.array_distinct(F.split(c, " "))
-    size = lambda ts: F.aggregate(ts, F.lit(-1), lambda n, t: n + F.length(t) + 1)
-    common = size(F.array_intersect(tokens(a), tokens(b)))
-    base = lambda own: 2.0 * F.greatest(common, F.lit(0)) / (F.greatest(common, F.lit(0)) + size(tokens(own)))
-    la, lb = size(tokens(a)), size(tokens(b))
-    return F.greatest(base(a), base(b), 2.0 * F.least(la, lb) / (la + lb))
-
-
-def title_pairs(df: DataFrame, threshold: float = fixed.FUZZY_THRESHOLD, tiles: int = 8) -> DataFrame:
-    """(company_key, a, b): pairs of distinct titles of a company that are alike; in either order of appearance if both occur.
-
-    Rows fall together to distinct titles first. Titles of a company are dealt to tiles, and pairs of tiles joined, so that a company's
-    pairs spread over tiles * (tiles + 1) / 2 tasks."""
-    titles = df.groupBy("company_key", "title_key").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    dealt = titles.withColumn("tile", F.pmod(F.xxhash64("title_key"), F.lit(tiles)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(tiles - 1))
-    left = dealt.select("company_key", F.col("title_key").alias("a"), F.col("lo").alias("a_lo"), "tile", F.explode(every).alias("other"))
-    right = dealt.select("company_key", F.col("title_key").alias("b"), F.col("hi").alias("b_hi"), F.col("tile").alias("other"), F.explode(every).alias("tile"))
-    pairs = left.join(right, ["company_key", "tile", "other"]).where("a <> b AND a_lo < b_hi").where(_at_most(F.col("a"), F.col("b")) >= threshold)
-    return pairs.where(similarity_udf("a", "b") >= threshold).select("company_key", "a", "b")
-
-
-def _groups(pairs: DataFrame) -> DataFrame:
-    """(company_key, title_key, title_group): least title reachable, by repeated least neighbours; labels only fall, so it ends."""
-    both = pairs.unionByName(pairs.select("company_key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.checkpoint()
-    labels = both.select("company_key", F.col("a").alias("title_key")).distinct().withColumn("title_group", F.col("title_key"))
-    before = None
-    while True:
-        near = both.join(labels.withColumnRenamed("title_key", "b"), ["company_key", "b"]).groupBy("company_key", F.col("a").alias("title_key")).agg(F.min("title_group").alias("near"))
-        labels = labels.join(near, ["company_key", "title_key"]).select("company_key", "title_key", F.least("title_group", "near").alias("title_group"))
-        # pointer jumping: follow the label's own label
-        up = labels.select("company_key", F.col("title_key").alias("title_group"), F.col("title_group").alias("up"))
-        labels = labels.join(up, ["company_key", "title_group"], "left").select("company_key", "title_key", F.coalesce("up", "title_group").alias("title_group")).checkpoint()
-        now = labels.agg(F.expr("bit_xor(xxhash64(company_key, title_key, title_group))")).first()[0]
-        if now == before:
-            return labels
-        before = now
+def title_pairs(df: DataFrame, threshold: float = fixed.FUZZY_THRESHOLD) -> DataFrame:
+    """(company_key, a, b): pairs of distinct titles of a company that are alike; in either order of appearance if both occur. Rows fall together to distinct titles first."""
+    return alike(distinct_titles(df), threshold).select("company_key", "a", "b")
 
 
 def fuzzy_dedupe(df: DataFrame, threshold: float = fixed.FUZZY_THRESHOLD) -> DataFrame:
@@ -151,9 +82,11 @@ def fuzzy_dedupe(df: DataFrame, threshold: float = fixed.FUZZY_THRESHOLD) -> Dat
     keyed = with_keys(df)
     eligible = ~failed() & (F.col("company_key") != "") & (F.col("title_key") != "")
     rows = keyed.where(eligible)
-    shared_path(df.sparkSession, "")  # so that checkpoints have a folder
-    groups = _groups(title_pairs(rows.select("company_key", "title_key", "seq"), threshold))
-    named = rows.join(groups, ["company_key", "title_key"], "left").withColumn("title_group", F.coalesce("title_group", "title_key"))
+    titles = distinct_titles(rows.select("company_key", "title_key", "seq"))
+    linked = components(alike(titles, threshold).select(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")))
+    groups = titles.join(linked, F.col("lo") == F.col("node")).select("company_key", "title_key", "component")
+    # keys hold no #, so a component's name is no title
+    named = rows.join(groups, ["company_key", "title_key"], "left").withColumn("title_group", F.coalesce(F.concat(F.lit("#"), "component"), "title_key")).drop("component")
     members = named.groupBy("company_key", "title_group").agg(F.max_by("seq", F.struct(F.coalesce("score", F.lit(-1)), -F.col("seq"))).alias("best"), F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("all"))
     merged = members.select("best", F.transform(F.filter("all", lambda m: m["seq"] != F.col("best")), lambda m: m["url"]).alias("merged_urls"))
     kept = named.join(merged, F.col("seq") == F.col("best")).drop("best", "title_group")

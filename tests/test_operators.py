@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import scoring
-from postmill.operators import cards, dedupe, filters, report, state
+from postmill.operators import cards, dedupe, filters, report, state, titles
 
 ROW = "seq long, url string, company string, title string, location string, score int, error string"
 
@@ -41,7 +41,7 @@ def brute_fuzzy(rows, threshold):
         return i
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if keys[i] and keys[j] and all(keys[i]) and all(keys[j]) and keys[i][0] == keys[j][0] and dedupe.title_similarity(keys[i][1], keys[j][1]) >= threshold:
+        if keys[i] and keys[j] and all(keys[i]) and all(keys[j]) and keys[i][0] == keys[j][0] and titles.title_similarity(keys[i][1], keys[j][1]) >= threshold:
             a, b = sorted((find(i), find(j)))
             root[b] = a
     kept = {}
@@ -65,8 +65,8 @@ def test_fuzzy_against_all_pairs(spark):
 
 
 def test_similarity_values():
-    assert dedupe.title_similarity("Software Engineer", "Engineer") == 1.0 and dedupe.title_similarity("", "x") == 0.0
-    assert dedupe.title_similarity("Frontend Engineer", "Backend Engineer") < 0.85 <= dedupe.title_similarity("Splunk Engineer (Nights)", "Splunk Engineer - Night Shift")
+    assert titles.title_similarity("Software Engineer", "Engineer") == 1.0 and titles.title_similarity("", "x") == 0.0
+    assert titles.title_similarity("Frontend Engineer", "Backend Engineer") < 0.85 <= titles.title_similarity("Splunk Engineer (Nights)", "Splunk Engineer - Night Shift")
 
 
 def test_reposts(spark):
