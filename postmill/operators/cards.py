@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import canonicalize_url
 from .dedupe import first_by
+from .search import grams
+from .tables import materialise
 
 WORK_MODES = ["remote", "hybrid", "onsite"]
 
@@ -36,17 +38,36 @@ def dedupe_by_job_id(cards: DataFrame, limit: int | None = None) -> DataFrame:
     return left.orderBy("seq").limit(limit) if limit is not None else left
 
 
-#: Roles are compared with every card, so a registry is a list that people keep.
-MOST_ROLES = 10_000
+#: Characters of a word by which roles are looked up.
+ROLE_GRAM = 3
+
+
+def _short_grams(text: Column) -> Column:
+    """All stretches of up to ROLE_GRAM characters."""
+    cut = lambda g: F.transform(F.sequence(F.lit(1), F.length(g)), lambda n: F.substring(g, F.lit(1), n))
+    return F.array_distinct(F.flatten(F.transform(grams(text, ROLE_GRAM), cut)))
 
 
 def role_hits(cards: DataFrame, roles: DataFrame, limit: int = 25) -> DataFrame:
-    """(role_seq, role, url, seq): of each role the first `limit` cards that hold all its keywords. A registry of up to MOST_ROLES rows is broadcast, a longer one raises."""
-    if roles.limit(MOST_ROLES + 1).count() > MOST_ROLES:
-        raise ValueError(f"a role registry may have {MOST_ROLES} roles at most")
-    hay = cards.select("seq", "url", haystack().alias("hay")).where("coalesce(url, '') <> ''")
-    hits = hay.join(F.broadcast(roles.select("role_seq", "role", "keywords")), match_keywords(F.col("keywords"), F.col("hay")))
-    return hits.withColumn("at_", F.row_number().over(Window.partitionBy("role_seq").orderBy("seq"))).where(F.col("at_") <= limit).select("role_seq", "role", "url", "seq")
+    """(role_seq, role, url, seq): of each role the first `limit` cards that hold all its keywords. A role without keywords is held by every card.
+
+    Roles and cards meet on stretches of up to ROLE_GRAM characters: of all stretches of a role's keywords (whole words where they are shorter) the one that fewest cards hold is looked up among the cards', which then have to hold
+    all words. Stretches are counted over all cards, so a word that most cards hold decides nothing. Registries may have any length."""
+    hay = materialise(cards.select("seq", "url", haystack().alias("hay")).where("coalesce(url, '') <> ''"), "cards")
+    words = F.array_distinct(F.filter(F.split(F.lower("keywords"), r"(?U)\s+"), lambda w: w != ""))
+    wanted = materialise(roles.select("role_seq", "role", "keywords", words.alias("words")), "roles")
+    index = hay.select("seq", F.explode(_short_grams(F.col("hay"))).alias("gram"))
+    cut = lambda w: F.when(F.length(w) <= ROLE_GRAM, F.array(w)).otherwise(F.slice(grams(w, ROLE_GRAM), F.lit(1), F.length(w) - ROLE_GRAM + 1))
+    each = wanted.select("role_seq", F.explode(F.array_distinct(F.flatten(F.transform("words", cut)))).alias("gram"))
+    often = index.join(each.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = each.join(often, "gram", "left").groupBy("role_seq").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    candidates = index.join(rarest, "gram").select("role_seq", "seq")
+    hits = candidates.join(wanted.select("role_seq", "role", "keywords"), "role_seq").join(hay, "seq").where(match_keywords(F.col("keywords"), F.col("hay"))).select("role_seq", "role", "url", "seq")
+    hits = hits.withColumn("at_", F.row_number().over(Window.partitionBy("role_seq").orderBy("seq"))).where(F.col("at_") <= limit).drop("at_")
+    # the first cards of the table, as one row of at most `limit` structs
+    first = hay.select("seq", "url").orderBy("seq").limit(limit).agg(F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("firsts")).withColumn("k_", F.lit(0))
+    free = wanted.where("size(words) = 0").select("role_seq", "role", F.lit(0).alias("k_")).join(F.broadcast(first), "k_").select("role_seq", "role", F.explode("firsts").alias("c")).select("role_seq", "role", "c.url", "c.seq")
+    return hits.unionByName(free)
 
 
 def role_sweep(cards: DataFrame, roles: DataFrame, limit: int = 25) -> tuple[DataFrame, DataFrame]:
