@@ -253,19 +253,24 @@ def _collapsed(df: DataFrame) -> DataFrame:
     return df.withColumns({"company": F.lit("Acme"), "title": F.lit("Engineer"), "location": F.lit(None).cast("string")})
 
 
+def _fingerprints(spark, sf_dir) -> DataFrame:
+    """(seq, url, fingerprint), written, as it is read twice and costs an enrichment."""
+    df = _collapsed(_bodies(spark, sf_dir))
+    return materialise(df.select("seq", "url", dedupe.content_fingerprint(df).alias("fingerprint")), "fingerprints")
+
+
 _FP1 = _FP.replace("sha256(concat_ws('|', company_key, title_key, place,", "sha256(concat_ws('|', 'acme', 'engineer', '',").replace("AND company_key <> '' AND title_key <> '' ", "")
 
 
 @query("g6_mark_reposts", f"{_FP1}, f AS (SELECT seq, url, fingerprint, first_value(url) OVER (PARTITION BY fingerprint ORDER BY seq) AS first FROM fp) SELECT seq, CASE WHEN fingerprint IS NOT NULL AND first <> url THEN first END AS repost_of FROM f")
 def _(spark, sf_dir):
-    return dedupe.mark_reposts(_collapsed(_bodies(spark, sf_dir))).select("seq", "repost_of")
+    return dedupe.mark_reposts(_fingerprints(spark, sf_dir)).select("seq", "repost_of")
 
 
 @query("g7_flag_historical_reposts", f"{_FP1}, c AS (SELECT fingerprint, arg_min(url, seq) AS old FROM fp WHERE seq % 2 = 0 AND fingerprint IS NOT NULL GROUP BY 1) SELECT seq, CASE WHEN old <> url THEN old END AS repost_of_closed FROM fp LEFT JOIN c USING (fingerprint) WHERE seq % 2 = 1")
 def _(spark, sf_dir):
-    df = _collapsed(_bodies(spark, sf_dir))
-    closed = df.where("seq % 2 = 0").withColumn("fingerprint", dedupe.content_fingerprint(df))
-    return dedupe.flag_historical_reposts(df.where("seq % 2 = 1"), closed).select("seq", "repost_of_closed")
+    df = _fingerprints(spark, sf_dir)
+    return dedupe.flag_historical_reposts(df.where("seq % 2 = 1"), df.where("seq % 2 = 0")).select("seq", "repost_of_closed")
 
 
 @query("g3_title_similarity")

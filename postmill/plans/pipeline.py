@@ -27,18 +27,22 @@ class Run(NamedTuple):
     sources: DataFrame | None
 
 
+def enriched_once(postings: DataFrame, profile: dict | None, as_of: Column, fingerprints: bool = True) -> DataFrame:
+    """Enriched postings, written without bodies, as the steps of a flow read them several times; with their fingerprint if wanted."""
+    full = enrich.enrich_postings(postings, profile, as_of)
+    if fingerprints:
+        full = full.withColumn("fingerprint", dedupe.content_fingerprint(full))
+    return materialise(full.drop(*BODIES), "enriched")
+
+
 def run_flow(
     postings: DataFrame, profile: dict | None, as_of: Column, *, exact: bool = True, fuzzy: bool = False, least_score: int | None = None, reposts: bool = False, tracker: DataFrame | None = None, watch: DataFrame | None = None, today: str | None = None,
-    history: DataFrame | None = None, applications: DataFrame | None = None, url_roles: DataFrame | None = None, attempts: DataFrame | None = None, **given,
+    history: DataFrame | None = None, applications: DataFrame | None = None, url_roles: DataFrame | None = None, attempts: DataFrame | None = None, enriched: bool = False, **given,
 ) -> Run:
     """given: filters of `posting_filter`. exact: without it, in-run reposts of one title remain to be marked. watch: (key, url, title, first_seen, closed_since); history: RECORD with first_seen, last_seen, scrape_count,
-    read for postings of old closed ones before this run is merged in; attempts: (url, duration_ms). today is needed with watch and history."""
+    read for postings of old closed ones before this run is merged in; attempts: (url, duration_ms). today is needed with watch and history. enriched: postings come from `enriched_once`."""
     first = dedupe.input_dedupe(postings).drop("canonical_url")
-    full = enrich.enrich_postings(first, profile, as_of)
-    if reposts or history is not None:
-        full = full.withColumn("fingerprint", dedupe.content_fingerprint(full))
-    # written once, without bodies: the steps below read it several times
-    every = materialise(full.drop(*BODIES), "enriched")
+    every = materialise(first, "first") if enriched else enriched_once(first, profile, as_of, reposts or history is not None)
     rows = dedupe.dedupe_results(every).drop("company_key", "title_key") if exact else every
     if fuzzy:
         rows = dedupe.fuzzy_dedupe(rows).drop("company_key", "title_key")

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..functions.scoring import PROFILE
 from ..operators import cards as cards_of
-from ..operators import dedupe, report
+from ..operators import report
 from ..operators.tables import shared_path, spread
 from ..sources import ats, feeds, html
 from . import catalog, oracle
 from .adapters import as_of, postings, table
 from .catalog import enriched_table, query
-from .pipeline import run_flow
+from .pipeline import enriched_once, run_flow
 
 P = f"WITH p AS ({oracle.POSTINGS})"
 PAGE = 100
@@ -280,12 +280,12 @@ FROM run JOIN m ON m.key = run.key LEFT JOIN hist ON hist.fingerprint = run.fing
 def _(spark, sf_dir):
     """The flow with all steps on but the fuzzy one, which SQL cannot express; its state, history, statistics and counters are queries of their own."""
     raw = postings(spark, sf_dir)
-    full = catalog.enriched(spark, sf_dir)
-    old = full.where("seq % 4 = 1").select("url", F.lit(1).cast("long").alias("rank"), "seq", "score", "title", F.lit(0).alias("live"), dedupe.content_fingerprint(full).alias("fingerprint"), F.lit("2024-05-01").cast("timestamp").alias("first_seen"), F.lit("2024-05-01").cast("timestamp").alias("last_seen"), F.lit(1).cast("long").alias("scrape_count"))
+    full = enriched_once(raw, PROFILE, as_of())
+    old = full.where("seq % 4 = 1").select("url", F.lit(1).cast("long").alias("rank"), "seq", "score", "title", F.lit(0).alias("live"), "fingerprint", F.lit("2024-05-01").cast("timestamp").alias("first_seen"), F.lit("2024-05-01").cast("timestamp").alias("last_seen"), F.lit(1).cast("long").alias("scrape_count"))
     tracker = raw.where("seq % 50 = 3").select(F.concat(F.lit("<"), "url", F.lit(">")).alias("line"))
     roles = cards_of.role_sweep(catalog.card_rows(spark, sf_dir), catalog.role_rows(spark))[0]
     run = run_flow(
-        raw, PROFILE, as_of(), least_score=45, reposts=True, tracker=tracker, watch=catalog._watch_before(spark, sf_dir), today=catalog.TODAY, history=old, applications=catalog.applications(spark, sf_dir), url_roles=roles,
+        full, PROFILE, as_of(), enriched=True, least_score=45, reposts=True, tracker=tracker, watch=catalog._watch_before(spark, sf_dir), today=catalog.TODAY, history=old, applications=catalog.applications(spark, sf_dir), url_roles=roles,
         attempts=raw.select("url", F.lit(1.0).alias("duration_ms")), exclude_keywords="data", max_age=400,
     )
     return run.postings.select("rank", "seq", "title", "company", "score", "error", "repost_of_closed", "is_new", "application_status", "search_role", "tracker_status")
