@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import let, table
 
 WEIGHTS, SHARE, MOST, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 16, "mix"
+#: Words that one task of a shard orders at most, on average: some 60 MB.
+SLOT_WORDS = 10_000_000
 BLOCKS = 16**3
 
 
@@ -138,13 +140,18 @@ def _row_key() -> Column:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """Rows of docs as the mix takes them, repeated where it repeats them, in columns of docs. Each row has its own draws, whether ids repeat or are null.
 
-    The rows of a shard lie together and in the order of their places: each slot, a stretch of a shard's order, is shuffled by one task."""
-    drawn = mix(docs, row=_row_key()).groupBy("row").agg(F.array_sort(F.collect_list("draws")).alias("draws_"))
+    The rows of a shard lie together and in the order of their places: each slot, a stretch of a shard's order, is shuffled by one task. Slots grow in number with the words of the mix, SLOT_WORDS for each."""
+    mixed = table(mix(docs, row=_row_key()).select("row", "taken", "draws"), "mixed")
+    words = mixed.agg(F.sum("taken")).first()[0] or 0
+    slots = max(SHARDS, -(-words // (SHARDS * SLOT_WORDS)))
+    # rows equal in id, source and text take the draws of one row each, in order
+    nth = lambda order: F.row_number().over(Window.partitionBy("row").orderBy(order)).alias("nth")
+    drawn = mixed.where(F.size("draws") > 0).select("row", "draws", nth(F.col("draws")))
     whole = docs.select(F.struct("*").alias("d"), _row_key().alias("row"))
-    # rows equal in id, source and text take one element each
-    at = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("d")))
-    rows = whole.join(drawn, "row").withColumn("at", at).select("d", F.explode(F.element_at("draws_", F.col("at"))).alias("draw_"))
-    rows = rows.select("d", "draw_.shard", "draw_.place", F.floor(F.col("draw_.place") / (1 << 60)).alias("slot"))
+    numbered = whole.select("d", "row", nth(F.xxhash64("d")))
+    rows = numbered.join(drawn, ["row", "nth"]).select("d", F.explode("draws").alias("draw_"))
+    slot = F.floor((F.col("draw_.place") / float(1 << 64) + 0.5) * slots)
+    rows = rows.select("d", "draw_.shard", "draw_.place", slot.alias("slot"))
     return rows.repartition("shard", "slot").sortWithinPartitions("shard", "slot", "place").select("d.*")
 
 
