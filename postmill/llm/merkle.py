@@ -127,7 +127,8 @@ def prove(manifest: Manifest, requests: DataFrame) -> DataFrame:
     highest = groups.agg(F.max("height"), F.max("group_height")).first()
     top = groups.agg(F.first("key").alias("key"), F.first("height").alias("height")).where("key IS NOT NULL").withColumns({"digest": F.lit(bytearray(manifest.root or b"")), "path": F.expr(f"CAST(array() AS {PATH})")})
     asked = groups.select("key", "rank", "height", "group", "group_height")
-    reached = _descend(asked, top, f"{store}/top", highest[0] or 0, [])
+    # written, so that the root is a row to join by and no constant
+    reached = _descend(asked, table(top, "top"), f"{store}/top", highest[0] or 0, [])
     starts = table(reached.select(F.col("group").alias("key"), F.col("group_height").alias("height"), "digest", "path", F.col("digest").alias("subroot")), "starts")
     found = _descend(requests.drop("digest"), starts, f"{store}/groups", highest[1] or 0, ["subroot"])
     return found.withColumn("path", F.reverse("path"))
