@@ -13,6 +13,7 @@ digest, so that a group of copies never meets in one task and needs no pairs.
 
 Nulls: a null text counts as empty. A null doc_id comes last among equals. Of repeated rows one stays. Empty tables give no rows.
 Extra columns are ignored by `exact_groups`, kept by `drop_copies`. A later batch can only reread texts of tables in Parquet files with doc_id and text.
+Very long texts are digested whole by built-in expressions and compared whole where a digest is hit.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ takes the child that the digit selects and keeps the others as a segment of the
 part, so the steps of all rows' requests together cost about 1/FAN of the rows each time less. At the leaf the segments are reversed, which puts them in the order in which a checker folds them.
 
 Digests are stored as 32 bytes and hashed as lowercase hex. Nulls: a null field is `-`; a null group comes first, as does a null id in its group. Equal ids are ordered by leaf;
-rows that are wholly equal are leaves of their own that may stand for each other. An empty table has no root and no rows. Very long texts are hashed by the JVM whole.
+rows that are wholly equal are leaves of their own that may stand for each other. The store stays in the shared folder, as a manifest is there to be asked later. An empty table has no root and no rows. Very long texts are hashed by the JVM whole.
 Other columns of the input are not read.
 """
 

@@ -16,6 +16,7 @@ exact, the tree decides where a block is drawn, and the quota how many are.
 One row of the tree holds the quotas of all sources, so sources are meant to be thousands, not billions. Every step is a function of
 ids and sizes: reruns agree. Nulls: a null text has no words; null ids share one key; repeated rows count each; a null source
 is a source; empty tables give no rows. Extra columns are ignored by `mix`; `mixed_rows` keeps the columns of docs.
+Very long texts are counted whole by a built-in expression; one of over 2 % of its source is weighed by itself.
 """
 
 from __future__ import annotations

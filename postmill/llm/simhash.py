@@ -11,6 +11,7 @@ members, not with their square; a value is named by at most 1 + free bits member
 
 Nulls: a null text has no words, its fingerprint is zero and it links like any other. A null doc_id is kept as a row with its
 fingerprint and its own null component. Repeated rows of a doc_id keep one row each. Extra columns are dropped.
+Very long texts are fingerprinted whole, one at a time in a task, whose memory grows with the words of the longest text.
 """
 
 from __future__ import annotations
