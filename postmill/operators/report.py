@@ -15,22 +15,34 @@ def _order() -> list[Column]:
     return [F.coalesce("score", F.lit(-1)).desc(), F.col("seq").asc()]
 
 
-def rank_postings(df: DataFrame) -> DataFrame:
-    """df with rank from 1: best score first, unscored last, ties in input order; exact and without one task that ranks all.
+#: Stretches of seq that are counted for each score; with a hundred scores a million counts, 24 MB, at most.
+STRETCHES = 10_000
+
 
-    Rows are counted by score (a hundred values); a row's rank is the rows of better scores plus its place among its own score's rows, which are
-    placed within (score, range of seq) and shifted by the counts of the ranges before."""
-    keyed = df.withColumn("s_", F.coalesce("score", F.lit(-1))).withColumn("b_", F.floor(F.col("seq") / 65536))
+def rank_postings(df: DataFrame) -> DataFrame:
+    """df with rank from 1, laid out by rank: best score (of 0 to 100) first, unscored last, ties in input order, rows without seq last. Written as it is, its files follow each other by rank.
+
+    Rows are counted by score and stretch of seq. The counts before a cell of both give its first rank and the task that takes it (cells are dealt out in order, so
+    that tasks hold like numbers of rows), rows move to their task once, and a rank is the first of its task's plus the place in it: no task ranks all, nothing is sampled, no row
+    moves again to be written in order. df is read three times (for the span of seq, the counts and the rows), so it should be a written table."""
+    span = df.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")).first()
+    lo, tasks = span.lo or 0, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = ((span.hi or 0) - lo) // STRETCHES + 1
+    keyed = df.withColumn("s_", F.coalesce("score", F.lit(-1))).withColumn("b_", F.coalesce(F.floor((F.col("seq") - lo) / F.lit(width)), F.lit(STRETCHES)))
     counts = keyed.groupBy("s_", "b_").agg(F.count("*").alias("n_"))
-    within = Window.partitionBy("s_").orderBy("b_")
-    above = counts.groupBy("s_").agg(F.sum("n_").alias("t_")).withColumn("above_", F.coalesce(F.sum("t_").over(Window.orderBy(F.col("s_").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = counts.withColumn("in_", F.coalesce(F.sum("n_").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(above.drop("t_"), "s_").select("s_", "b_", (F.col("in_") + F.col("above_")).alias("off_"))
-    placed = keyed.withColumn("p_", F.row_number().over(Window.partitionBy("s_", "b_").orderBy("seq")))
-    return placed.join(offsets, ["s_", "b_"]).withColumn("rank", (F.col("off_") + F.col("p_")).cast("long")).drop("s_", "b_", "p_", "off_")
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = counts.groupBy("s_").agg(F.sum("n_").alias("t_")).select("s_", before("t_", Window.orderBy(F.col("s_").desc())).alias("above_"))
+    cells = counts.withColumn("in_", before("n_", Window.partitionBy("s_").orderBy("b_"))).join(above, "s_").select("s_", "b_", (F.col("in_") + F.col("above_")).alias("off_"))
+    cells = cells.withColumn("task_", F.floor(F.col("off_") * tasks / max(1, span.n)).cast("int"))
+    cells = cells.withColumn("start_", F.min("off_").over(Window.partitionBy("task_"))).drop("off_")
+    placed = keyed.join(F.broadcast(cells), ["s_", "b_"]).repartitionById(tasks, "task_").sortWithinPartitions(F.col("s_").desc(), F.col("seq").asc_nulls_last())
+    # the place of a row in its partition: the lower 33 bits of this function
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("rank", F.col("start_") + place + 1).drop("s_", "b_", "task_", "start_")
 
 
 def export_rows(df: DataFrame, profile: dict) -> DataFrame:
-    """The 23 export columns of enriched postings, blank where unknown."""
+    """The 23 export columns of enriched postings, best first, blank where unknown."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
     joined = lambda c, by: F.coalesce(F.array_join(c, by), F.lit(""))
     yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "yes").otherwise("")
@@ -44,10 +56,8 @@ def export_rows(df: DataFrame, profile: dict) -> DataFrame:
         "benefits": joined(F.transform("benefits", lambda s: F.coalesce(s["heading"], F.lit(""))), "; "), "sponsorship": yes(F.col("signals.sponsorship_mentioned")), "german_required": yes(F.col("signals.german_required")),
         "work_mode": joined(F.col("signals.work_mode"), ","), "tracker": text("tracker_status"), "applied": text("application_status"), "repost": F.coalesce(*repost, F.lit("")), "search_role": text("search_role"), "url": text("url"),
     }
-    order = [F.col("score").alias("score_"), F.col("seq").alias("seq_")]
-    # written before the sort, which reads its input twice to find the ranges
-    made = materialise(df.select(*[values[c].alias(c) for c in fixed.EXPORT_COLUMNS], *order), "export")
-    return made.orderBy(F.coalesce("score_", F.lit(-1)).desc(), "seq_").drop("score_", "seq_")
+    made = materialise(df.select(*[values[c].alias(f"{c}_") for c in fixed.EXPORT_COLUMNS], "score", "seq"), "export")
+    return rank_postings(made).select(*[F.col(f"{c}_").alias(c) for c in fixed.EXPORT_COLUMNS])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -55,8 +65,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_jsonl(ranked: DataFrame, path: str) -> None:
-    """One record a line, best first, unknown fields as null."""
-    ranked.orderBy("rank").write.option("ignoreNullFields", False).json(path)
+    """One record a line, in the order of `rank_postings`, unknown fields as null."""
+    ranked.write.option("ignoreNullFields", False).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

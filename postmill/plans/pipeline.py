@@ -64,7 +64,8 @@ def run_flow(
         rows = state.annotate_application_status(rows, applications)
     if url_roles is not None:
         rows = tag_search_role(rows, url_roles)
-    ranked = materialise(report.rank_postings(rows if watch is not None else rows.withColumn("is_new", F.lit(None).cast("boolean"))), "ranked")
+    unranked = materialise(rows if watch is not None else rows.withColumn("is_new", F.lit(None).cast("boolean")), "unranked")
+    ranked = materialise(report.rank_postings(unranked), "ranked")
     return Run(
         ranked, report.run_counters(before, ranked, closed), closed, following,
         None if history is None else state.merge_history(history, ranked.withColumn("live", F.col("is_live").cast("int")).select(*RECORD), today),
