@@ -14,14 +14,13 @@ def apply_watch(postings: DataFrame, state: DataFrame, today: str) -> tuple[Data
     """(postings with is_new, newly closed rows, next state).
 
     state: (key, url, title, first_seen, closed_since). A key that is absent, not failed in this run and not yet closed is closed today;
-    a closed one that is back is open again. Only the first posting of an unseen key is new."""
+    a closed one that is back is open again. Only the first posting of an unseen key is new. State is joined once, by key: bucketed by it (`snapshots`), it isn't shuffled."""
     day = F.lit(today).cast("date")
     keyed = with_keys(postings).withColumn("key", F.concat_ws("|", "company_key", "title_key")).drop("company_key", "title_key")
-    now = keyed.groupBy("key").agg(F.min(F.when(~failed(), F.col("seq"))).alias("first_seq"), F.min_by(F.struct("url", "title"), F.when(~failed(), F.col("seq"))).alias("now"))
+    now = keyed.groupBy("key").agg(F.min(F.when(~failed(), F.col("seq"))).alias("first_seq"), F.min_by(F.struct("url", "title"), F.when(~failed(), F.col("seq"))).alias("now"), F.lit(True).alias("seen"))
     both = state.withColumn("known", F.lit(True)).join(now, "key", "full_outer")
     present = F.col("first_seq").isNotNull()
-    closes = F.col("known") & F.col("now").isNull() & F.col("first_seq").isNull() & F.col("seen_now").isNull() & F.col("closed_since").isNull()
-    both = both.join(now.select("key", F.lit(True).alias("seen_now")), "key", "left")
+    closes = F.col("known") & F.col("seen").isNull() & F.col("closed_since").isNull()
     marked = both.where(F.col("known") | present).withColumn("closes", F.coalesce(closes, F.lit(False)))
     following = marked.select(
         "key", F.when(F.col("known"), F.col("url")).otherwise(F.col("now.url")).alias("url"), F.when(F.col("known"), F.col("title")).otherwise(F.col("now.title")).alias("title"),
@@ -33,7 +32,9 @@ def apply_watch(postings: DataFrame, state: DataFrame, today: str) -> tuple[Data
 
 
 def merge_history(history: DataFrame, run: DataFrame, now: str) -> DataFrame:
-    """Next snapshot of history (url, ..., first_seen, last_seen, scrape_count) after a run (url, rank, ...): the lowest row of a URL in rank order counts as its latest."""
+    """Next snapshot of history (url, ..., first_seen, last_seen, scrape_count) after a run (url, rank, ...): the lowest row of a URL in rank order counts as its latest.
+
+    A history bucketed by url (`snapshots`) isn't shuffled, and the result lies in its buckets."""
     values = [c for c in run.columns if c != "url"]
     stamp = F.lit(now).cast("timestamp")
     latest = run.groupBy("url").agg(F.max_by(F.struct(*values), "rank").alias("new"), F.count("*").alias("seen"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -12,6 +13,7 @@ from ..functions import fixed, scoring, text, urls
 from ..functions.scoring import PROFILE
 from ..operators import cards as C
 from ..operators import dedupe, enrich, filters, report, state
+from ..operators.snapshots import Snapshots
 from ..operators.tables import materialise, shared_path
 from . import oracle
 from .adapters import as_of, pick, postings, table
@@ -336,10 +338,16 @@ def _watch_before(spark, sf_dir) -> DataFrame:
     return old.select("key", "url", "title", F.lit(BEFORE).cast("date").alias("first_seen"), F.when(F.col("s") % 5 == 0, F.lit(BEFORE).cast("date")).alias("closed_since"))
 
 
+def kept_runs(spark, name: str, key: str) -> Snapshots:
+    """Snapshots of a query of its own, in as many buckets as shuffles have tasks."""
+    return Snapshots(spark, f"{name}_{uuid.uuid4().hex}", key, int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, name))
+
+
 def watched(spark, sf_dir):
     # scores play no part in the watch list
     df = postings(spark, sf_dir).select("seq", "url", "title", "company", "error")
-    return state.apply_watch(df.where("seq % 3 <> 1"), _watch_before(spark, sf_dir), TODAY)
+    before = kept_runs(spark, "watch", "key").start(BEFORE, _watch_before(spark, sf_dir))
+    return state.apply_watch(df.where("seq % 3 <> 1"), before, TODAY)
 
 
 @query("i1_watch_new", f"{_WATCH} SELECT run.seq, coalesce(NOT m.known AND m.first_seq = run.seq, FALSE) AS is_new FROM run JOIN m ON m.key = run.key")
@@ -365,7 +373,8 @@ def history(spark, sf_dir) -> DataFrame:
     ranked = report.rank_postings(enriched_table(spark, sf_dir))
     run = materialise(ranked.select("url", "rank", "seq", "score", "title", F.col("is_live").cast("int").alias("live")), "run")
     empty = spark.createDataFrame([], "url string, rank long, seq long, score int, title string, live int, first_seen timestamp, last_seen timestamp, scrape_count long")
-    first = state.merge_history(empty, run.where("seq % 3 <> 0"), f"{BEFORE} 00:00:00")
+    runs = kept_runs(spark, "history", "url")
+    first = runs.start(BEFORE, state.merge_history(empty, run.where("seq % 3 <> 0"), f"{BEFORE} 00:00:00"))
     return state.merge_history(first, run.where("seq % 3 <> 1"), f"{TODAY} 00:00:00")
 
 
@@ -426,7 +435,7 @@ def _(spark, sf_dir):
 
 @query("j4_rank_postings", f"{CHAIN} SELECT rank, seq, title, company, score FROM (SELECT *, row_number() OVER (ORDER BY coalesce(score, -1) DESC, seq) AS rank FROM (SELECT * EXCLUDE (rank) FROM k QUALIFY failed OR company_key = '' OR title_key = '' OR row_number() OVER (PARTITION BY failed, company_key, title_key ORDER BY coalesce(score, -1) DESC, seq) = 1))")
 def _(spark, sf_dir):
-    return report.rank_postings(dedupe.dedupe_results(enriched_table(spark, sf_dir))).select("rank", "seq", "title", "company", "score")
+    return report.rank_postings(materialise(dedupe.dedupe_results(enriched_table(spark, sf_dir)).select("seq", "title", "company", "score"), "distinct")).select("rank", "seq", "title", "company", "score")
 
 
 _ATTEMPTS = f"WITH p AS ({oracle.POSTINGS}), t AS (SELECT {board('url')} AS source, count(*) AS attempted, CAST(sum(seq % 100) AS BIGINT) AS duration_ms FROM p GROUP BY 1), r AS (SELECT {board('url')} AS source, error FROM p WHERE seq % 5 <> 0)"
