@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from postmill.llm import exact
@@ -50,3 +51,45 @@ def test_later_batches_find_the_state(spark, tmp_path):
             assert len(got) == len(rows) and all(r.doc_id == r.keep_id for r in got if r.kept)
     # the log of each batch was read once, by the query that went on from its checkpoint
     assert len(list((tmp_path / f"{id(digest)}" / "state" / "commits").glob("[0-9]*"))) >= 3
+
+
+@pytest.mark.parametrize("broken", ["log", "state", "after"])
+def test_a_broken_batch_is_repeated(spark, tmp_path, monkeypatch, broken):
+    """Three batches, the second broken off while its log is written, before its state is, or when all is done but the answer."""
+    batches, known = [TEXTS[:7], [*TEXTS[7:], (1, "ab "), (30, "x")], [(20, "ab"), (21, "x   "), (22, "new"), (23, "x")]], []
+    weak = lambda c: F.substring(exact.sha(c), 1, 1)
+    folder = f"file://{tmp_path}/groups"
+    for k, rows in enumerate(batches):
+        path = str(tmp_path / f"{k}.parquet")
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(path)
+        known += rows
+        if k == 1 and broken == "log":
+            left = tmp_path / "groups" / "log" / "batch=1"
+            left.mkdir(parents=True)
+            (left / "part-00000-half.parquet").write_bytes(b"PAR1 cut off")
+        elif k == 1:
+            with monkeypatch.context() as patched:
+                real = exact._state
+
+                def dies(*given):
+                    if broken == "after":
+                        real(*given)
+                    raise RuntimeError("executor lost")
+
+                patched.setattr(exact, "_state", dies)
+                with pytest.raises(RuntimeError):
+                    exact.exact_groups(spark.read.parquet(path), weak, folder, k)
+        got = exact.exact_groups(spark.read.parquet(path), weak, folder, k).collect()
+        want = brute(known)
+        assert len(got) == len(rows)
+        for d, _ in rows:
+            assert {(r.keep_id, r.group_size) for r in got if r.doc_id == d} <= {(x[1], x[2]) for x in want if x[0] == d}
+
+
+def test_locators_name_rows_of_files(spark, tmp_path):
+    path = str(tmp_path / "own.parquet")
+    spark.createDataFrame([(k, f"t{k}", "x", k) for k in range(50)], "doc_id long, text string, locator string, place long").coalesce(1).write.parquet(path)
+    found = exact._located(spark.read.parquet(path)).collect()
+    assert [(r.doc_id, r.place) for r in found] == [(k, k) for k in range(50)] and all("own.parquet/part-" in r.locator for r in found)
+    made = exact._located(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    assert [(r.locator, r.place) for r in made] == [(None, None)]
