@@ -53,10 +53,27 @@ cards("a7_cards_arbeitnow", feeds.cards_arbeitnow, {"slug": "seq", "title": "tit
 cards("a8_cards_himalayas", feeds.cards_himalayas, {"title": "title", "companyName": "company", "companySlug": "origin", "applicationLink": "CASE WHEN seq % 2 = 0 THEN url END", "guid": "url", "locationRestrictions": "CASE WHEN seq % 3 = 0 THEN array('DE', 'FR') ELSE array() END", "categories": "tags", "pubDate": "'1700000000'"}, '{"jobs": %s}', "'himalayas:' || url", location="CASE WHEN seq % 3 = 0 THEN 'DE, FR' ELSE 'Remote' END", posted="'2023-11-14T22:13:20Z'")
 cards("a9_cards_workable", feeds.cards_workable, {"id": "seq", "title": "title", "department": "origin", "employmentType": "employment_type", "workplace": "'hybrid'", "url": "url", "created": "posted", "locations": "CASE WHEN seq % 2 = 0 THEN array(location) END", "location": "named_struct('city', 'Bonn', 'countryName', 'Germany')", "company": "named_struct('title', company)"}, '{"totalSize": 1, "jobs": %s}', f"'workable:' || {id_}", location="CASE WHEN seq % 2 = 0 AND location IS NOT NULL THEN location ELSE 'Bonn, Germany' END", tags="concat_ws(',', origin, employment_type, 'hybrid')")
 cards("a10_cards_themuse", feeds.cards_themuse, {"id": "seq", "name": "title", "company": "named_struct('name', company)", "locations": "array(named_struct('name', location), named_struct('name', 'Flexible'))", "levels": "array(named_struct('name', origin))", "categories": "array(named_struct('name', 't'))", "refs": "named_struct('landing_page', url)", "publication_date": "posted", "contents": "'<p>' || title || '</p>'"}, '{"page": 0, "results": %s}', f"'themuse:' || {id_}", location="concat_ws(', ', location, 'Flexible')")
-cards("a11_cards_freehire", feeds.cards_freehire, {"public_slug": "CASE WHEN seq % 5 > 0 THEN 's' || seq END", "source": "'lever'", "url": "url", "title": "title", "company": "company", "location": "location", "posted_at": "'2024-05-01T10:00:00Z'", "description": "'<p>' || title || '</p>'", "skills": "tags", "work_mode": "'remote'"}, '{"data": %s}', f"'freehire:s' || {id_}", location="location", url=f"'https://freehire.me/jobs/s' || {id_}", posted="'2024-05-01'")
-from .catalog import SQL  # noqa: E402
 
-SQL["a11_cards_freehire"] += " WHERE seq % 5 > 0"
+
+def escaped(c: str) -> str:
+    return f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def told(*parts: str) -> str:
+    """SQL of the visible text of blocks: each without white space around it, blank ones left out, a line each."""
+    bare = ", ".join(f"regexp_replace({x}, '^[\\s]+|[\\s]+$', '', 'g')" for x in parts)
+    return f"array_to_string(list_filter([{bare}], lambda x: x <> ''), chr(10))"
+
+
+#: A posting's whole body as HTML, and as read from it.
+BODY, TOLD = f"concat('<p>', {escaped('text1')}, '</p><div>', {escaped('text2')}, '</div>')", told("text1", "text2")
+
+
+@query("a11_cards_freehire", f"{P} SELECT 'freehire:s' || {id_} AS job_id, title, company, location, 'https://freehire.me/jobs/s' || {id_} AS url, '2024-05-01' AS posted_text, origin || ',t' AS tags, sha256({TOLD}) AS body_sha256 FROM p WHERE seq % 5 > 0")
+def _(spark, sf_dir):
+    entry = {"public_slug": "CASE WHEN seq % 5 > 0 THEN 's' || seq END", "source": "'lever'", "url": "url", "title": "title", "company": "company", "location": "location", "posted_at": "'2024-05-01T10:00:00Z'", "description": BODY, "skills": "tags", "work_mode": "'remote'"}
+    made = feeds.cards_freehire(landed(spark, sf_dir, entry, '{"data": %s}'))
+    return made.select("job_id", "title", "company", "location", "url", "posted_text", F.array_join("tags", ",").alias("tags"), F.sha2("description", 256).alias("body_sha256"))
 
 
 def rss(spark, sf_dir, item: str) -> DataFrame:
@@ -93,15 +110,15 @@ def _(spark, sf_dir):
     return feeds.hn_pick_thread(payloads, "June 2024", "page").select("story_id")
 
 
-@query("a13_cards_hn", f"{P} SELECT 'hn:' || {id_} AS job_id, coalesce(company, title) AS company, CASE WHEN company IS NULL THEN coalesce(nullif(location, ''), title) ELSE title END AS title, CASE WHEN company IS NULL THEN NULL ELSE location END AS location FROM p WHERE seq % 7 > 0")
-def _(spark, sf_dir):
-    body = "concat_ws(' | ', company, title, location, 'Full-time', 'https://x.y') || '<p>' || substr('we are looking for people who like to work with us on this', 1, 60)"
-    rows = postings(spark, sf_dir).select(F.col("seq").alias("id"), F.expr(body).alias("text"), (F.col("seq") % 7 == 0).alias("deleted"), F.lit(None).cast("boolean").alias("dead"))
-    return feeds.cards_hn(rows).select("job_id", "company", "title", "location")
+HEADER = "concat_ws(' | ', company, title, location, 'Full-time', 'https://x.y')"
 
 
-SQL["a13_cards_hn"] = f"""{P} SELECT 'hn:' || {id_} AS job_id, coalesce(company, title) AS company, CASE WHEN company IS NOT NULL THEN title WHEN location IS NOT NULL THEN location ELSE title END AS title,
-  CASE WHEN company IS NOT NULL THEN location END AS location FROM p WHERE seq % 7 > 0 AND (company IS NOT NULL OR location IS NOT NULL) UNION ALL SELECT 'hn:' || {id_}, title, 'Full-time', NULL FROM p WHERE seq % 7 > 0 AND company IS NULL AND location IS NULL"""
+@query("a13_cards_hn", f"""{P}, b AS (SELECT *, {told(HEADER, 'text2')} AS body FROM p WHERE seq % 7 > 0) SELECT 'hn:' || {id_} AS job_id, coalesce(company, title) AS company,
+  CASE WHEN company IS NOT NULL THEN title WHEN location IS NOT NULL THEN location ELSE 'Full-time' END AS title, CASE WHEN company IS NOT NULL THEN location END AS location, sha256(body) AS body_sha256 FROM b WHERE length(body) >= {feeds.MIN_COMMENT_CHARS}""")
+def _(spark, sf_dir):
+    comment = F.expr(f"{HEADER} || '<p>' || {escaped('text2')}")
+    rows = postings(spark, sf_dir).select(F.col("seq").alias("id"), comment.alias("text"), (F.col("seq") % 7 == 0).alias("deleted"), F.lit(None).cast("boolean").alias("dead"))
+    return feeds.cards_hn(rows).select("job_id", "company", "title", "location", F.sha2("description", 256).alias("body_sha256"))
 
 
 @query("a14_cards_linkedin", f"{P} SELECT {id_} AS job_id, title, company, location FROM p")
@@ -110,16 +127,16 @@ def _(spark, sf_dir):
     return html.cards_linkedin(postings(spark, sf_dir).select("seq", F.expr(f"{card} || {card}").alias("html"))).select("job_id", "title", "company", "location")
 
 
-@query("a14_linkedin_detail", f"{P} SELECT seq, title, company, employment_type, location FROM p WHERE seq % 4 > 0 AND employment_type IS NOT NULL AND location IS NOT NULL")
+@query("a14_linkedin_detail", f"{P} SELECT seq, title, company, employment_type, location, sha256(regexp_replace({TOLD}, '[\\s]+', ' ', 'g')) AS body_sha256 FROM p WHERE seq % 4 > 0 AND employment_type IS NOT NULL AND location IS NOT NULL")
 def _(spark, sf_dir):
-    page = "CASE WHEN seq % 4 > 0 THEN concat('<h1 class=\"top-card-layout__title\">', title, '</h1>', coalesce('<a class=\"topcard__org-name-link\">' || company || '</a>', ''), '<span class=\"topcard__flavor--bullet\">', employment_type, '</span><span class=\"topcard__flavor--bullet\">', location, '</span><div class=\"description__text\"><p>hi</p></div>') ELSE '<p>gone</p>' END"
+    page = f"CASE WHEN seq % 4 > 0 THEN concat('<h1 class=\"top-card-layout__title\">', title, '</h1>', coalesce('<a class=\"topcard__org-name-link\">' || company || '</a>', ''), '<span class=\"topcard__flavor--bullet\">', employment_type, '</span><span class=\"topcard__flavor--bullet\">', location, '</span><div class=\"description__text\">', {BODY}, '</div>') ELSE '<p>gone</p>' END"
     rows = postings(spark, sf_dir).where("employment_type IS NOT NULL AND location IS NOT NULL").select("seq", F.expr(page).alias("html"))
-    return html.linkedin_detail(rows).select("seq", "title", "company", "employment_type", "location")
+    return html.linkedin_detail(rows).select("seq", "title", "company", "employment_type", "location", F.sha2("description_html", 256).alias("body_sha256"))
 
 
-@query("a21_cards_to_postings", f"{P} SELECT title, company, 'apply: ' || url AS note, title AS full_text FROM p WHERE seq % 5 > 0")
+@query("a21_cards_to_postings", f"{P} SELECT title, company, 'apply: ' || url AS note, {TOLD} AS full_text FROM p WHERE seq % 5 > 0")
 def _(spark, sf_dir):
-    made = feeds.cards_freehire(landed(spark, sf_dir, {"public_slug": "CASE WHEN seq % 5 > 0 THEN 's' || seq END", "url": "url", "title": "title", "company": "company", "description": "'<p>' || title || '</p>'"}, '{"data": %s}'))
+    made = feeds.cards_freehire(landed(spark, sf_dir, {"public_slug": "CASE WHEN seq % 5 > 0 THEN 's' || seq END", "url": "url", "title": "title", "company": "company", "description": BODY}, '{"data": %s}'))
     return feeds.cards_to_postings(made).select("title", "company", F.get("fetch_notes", F.lit(0)).alias("note"), "full_text")
 
 
