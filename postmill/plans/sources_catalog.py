@@ -11,7 +11,7 @@ from ..functions import fixed, text
 from ..functions.scoring import PROFILE
 from ..operators import cards as cards_of
 from ..operators import report
-from ..operators.tables import shared_path, spread
+from ..operators.tables import apart, shared_path, spread
 from ..sources import ats, feeds, html
 from . import catalog, oracle
 from .adapters import as_of, postings, table
@@ -225,7 +225,7 @@ _PIECE = f"CASE WHEN regexp_matches(x, '^<script', 'i') THEN regexp_extract(x, '
 
 @query("d1_html_text", f"SELECT page_id, sha256(array_to_string(list_filter(list_transform(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script\\s*>|<!--.*?-->|<[^>]*>|[^<]+'), lambda x: {_PIECE}), lambda x: regexp_replace(x, '^[\\s]+|[\\s]+$', '', 'g')), lambda x: x <> ''), ' ')) AS text_sha256 FROM pages")
 def _(spark, sf_dir):
-    return spread(table(spark, sf_dir, "pages")).select("page_id", F.sha2(html.text_of(F.col("html"), F.lit(" ")), 256).alias("text_sha256"))
+    return apart(spread(table(spark, sf_dir, "pages")), "html").select("page_id", F.sha2(html.text_of(F.col("html"), F.lit(" ")), 256).alias("text_sha256"))
 
 
 @query("d2_parse_description", f"{P} SELECT seq, heading1 AS heading, CASE WHEN length({_LINE}) <= 2000 THEN {_LINE} ELSE '' END AS section, trim(heading1 || ' ' || {_LINE}) AS text FROM p")
@@ -236,7 +236,7 @@ def _(spark, sf_dir):
 
 @query("d3_split_sections")
 def _(spark, sf_dir):
-    made = html.pages_to_postings(spread(table(spark, sf_dir, "pages")))
+    made = html.pages_to_postings(apart(spread(table(spark, sf_dir, "pages")), "html"))
     return made.select("seq", F.posexplode("sections").alias("at", "s")).select("seq", "at", "s.heading", F.length("s.text").alias("chars"))
 
 
@@ -261,13 +261,13 @@ _WALL = "CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '<body[^>]*>', {})
 @query("d6_looks_blocked", f"SELECT page_id, length(v) < 2000 AND {oracle.has('v', fixed.BLOCKED.replace('(?<!gre)', ''))} AS blocked FROM (SELECT page_id, trim(regexp_replace({_VISIBLE}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS v FROM (SELECT page_id, {_WALL.format(repr('<body><h1>Verify you are human</h1>'))} AS html FROM pages))")
 def _(spark, sf_dir):
     """Pages, of which each third has got a bot challenge in front."""
-    pages = spread(table(spark, sf_dir, "pages")).withColumn("html", F.expr(_WALL.format("'<body><h1>Verify you are human</h1>'")))
+    pages = apart(spread(table(spark, sf_dir, "pages")), "html").withColumn("html", F.expr(_WALL.format("'<body><h1>Verify you are human</h1>'")))
     return html.pages_to_postings(pages).select(F.col("seq").alias("page_id"), text.looks_blocked(F.col("visible")).alias("blocked"))
 
 
 @query("d8_pages_to_postings")
 def _(spark, sf_dir):
-    made = html.pages_to_postings(spread(table(spark, sf_dir, "pages")))
+    made = html.pages_to_postings(apart(spread(table(spark, sf_dir, "pages")), "html"))
     from ..operators.enrich import enrich_postings
 
     return enrich_postings(made, PROFILE, as_of()).select("seq", "title", "is_live", "score", "job_type", F.size("sections").alias("n_sections"), "full_text_chars", "error")

@@ -79,3 +79,14 @@ def test_thread_is_picked_from_all_conversations(spark, tmp_path):
 
     spark.createDataFrame([(c,) for c in [*range(990, 1000), 1003, 2501, 2513, 2514]], "conv_id long").where("conv_id % 12 <> 5 OR conv_id > 1000").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.story_id for r in __spark_entry__.queries()["a12_hn_pick_thread"](spark, str(tmp_path)).collect()] == ["2501"]
+
+
+def test_long_pages_wait_in_tasks_of_their_own(spark):
+    from postmill.operators.tables import apart
+    from pyspark.sql import functions as F
+
+    rows = [(k, None if k == 3 else f"<p>page {k}</p>" + "x" * (3 << 20 if k in (5, 17) else 10)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(4)
+    got = apart(df, "html").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.page_id, r.html or "") for r in got) == sorted((k, h or "") for k, h in rows)
+    assert {r.task for r in got if r.page_id in (5, 17)}.isdisjoint(r.task for r in got if r.page_id not in (5, 17))
