@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import canonicalize_url
 from .dedupe import first_by
 from .search import grams
-from .tables import materialise
+from .tables import few, materialise
 
 WORK_MODES = ["remote", "hybrid", "onsite"]
 
@@ -59,10 +59,11 @@ def role_hits(cards: DataFrame, roles: DataFrame, limit: int = 25) -> DataFrame:
     index = hay.select("seq", F.explode(_short_grams(F.col("hay"))).alias("gram"))
     cut = lambda w: F.when(F.length(w) <= ROLE_GRAM, F.array(w)).otherwise(F.slice(grams(w, ROLE_GRAM), F.lit(1), F.length(w) - ROLE_GRAM + 1))
     each = wanted.select("role_seq", F.explode(F.array_distinct(F.flatten(F.transform("words", cut)))).alias("gram"))
-    often = index.join(each.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = each.join(often, "gram", "left").groupBy("role_seq").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    candidates = index.join(rarest, "gram").select("role_seq", "seq")
-    hits = candidates.join(wanted.select("role_seq", "role", "keywords"), "role_seq").join(hay, "seq").where(match_keywords(F.col("keywords"), F.col("hay"))).select("role_seq", "role", "url", "seq")
+    often = index.join(few(materialise(each.select("gram").distinct(), "grams")), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = each.join(often.hint("merge"), "gram", "left").groupBy("role_seq").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    # the exploded index is never the side that is broadcast
+    candidates = index.join(few(materialise(rarest, "rarest")), "gram").select("role_seq", "seq")
+    hits = candidates.join(few(wanted.select("role_seq", "role", "keywords")), "role_seq").join(hay.hint("merge"), "seq").where(match_keywords(F.col("keywords"), F.col("hay"))).select("role_seq", "role", "url", "seq")
     hits = hits.withColumn("at_", F.row_number().over(Window.partitionBy("role_seq").orderBy("seq"))).where(F.col("at_") <= limit).drop("at_")
     # the first cards of the table, as one row of at most `limit` structs
     first = hay.select("seq", "url").orderBy("seq").limit(limit).agg(F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("firsts")).withColumn("k_", F.lit(0))
@@ -83,7 +84,7 @@ def tag_search_role(postings: DataFrame, url_roles: DataFrame) -> DataFrame:
     keyed = postings.withColumn("k_", canonicalize_url(F.col("url")))
     roles = url_roles.select(F.col("canonical_url").alias("k2_"), F.col("role").alias("role_"))
     old = F.col("search_role") if "search_role" in postings.columns else F.lit(None).cast("string")
-    return keyed.join(roles, F.col("k_") == F.col("k2_"), "left").withColumn("search_role", F.coalesce(old, "role_")).drop("k_", "k2_", "role_")
+    return keyed.join(roles.hint("merge"), F.col("k_") == F.col("k2_"), "left").withColumn("search_role", F.coalesce(old, "role_")).drop("k_", "k2_", "role_")
 
 
 def registry_problems(roles: DataFrame) -> DataFrame:

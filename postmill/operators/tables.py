@@ -20,6 +20,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+#: Short rows (numbers, words, a line of a registry) that may be broadcast; longer lists join by shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows, else to be joined by sorting. df is counted, so it should be a written table.
+
+    Without a hint Spark goes by the size of files, which says little about a compressed table and nothing about what is exploded from it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table as read from files, dealt out anew if it comes in fewer partitions than there are cores: work on whole texts would else wait for a few tasks. A large table stays as it is."""
     cores = table.sparkSession.sparkContext.defaultParallelism

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from postmill.operators import cards, filters, search
+from postmill.operators import cards, filters, search, tables
 
 
 def brute(lines, keys):
@@ -77,3 +77,18 @@ def test_plans_have_no_nested_loops(spark, capsys):
     search.held(df.select(F.col("title").alias("line")), df.select(F.col("company").alias("k"))).explain()
     plan = capsys.readouterr().out
     assert plan.count("BroadcastNestedLoopJoin") <= 1 and "CartesianProduct" not in plan  # the one row of first cards for roles without keywords
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_roles_are_broadcast_behind_a_count_only(spark, monkeypatch):
+    rows = [(n, f"https://jobs.example/{n}", f"Data Engineer {n}", "Acme", ["x"]) for n in range(30)]
+    shown = spark.createDataFrame(rows, "seq long, url string, title string, company string, tags array<string>")
+    roles = spark.createDataFrame([(0, "Data", "data engineer"), (1, "Nobody", "zzz")], "role_seq int, role string, keywords string")
+    plain = sorted(map(tuple, cards.role_hits(shown, roles, 3).collect()))
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 1)
+    hits = cards.role_hits(shown, roles, 3)
+    assert "BroadcastHashJoin" not in _plan(hits)
+    assert sorted(map(tuple, hits.collect())) == plain == [(0, "Data", f"https://jobs.example/{n}", n) for n in range(3)]
