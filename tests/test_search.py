@@ -83,6 +83,14 @@ def _plan(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_exploded_places_are_not_broadcast(spark):
+    """Small files hold many places: a 1 GB table ended the driver, as Spark took the places of its keys for a small table."""
+    lines, keys = (spark.createDataFrame([(f"see https://jobs.example/{n} today",) for n in range(20)], "line string"), spark.createDataFrame([(f"https://jobs.example/{n}",) for n in range(5)], "k string"))
+    found = search.held(lines, keys)
+    assert "Broadcast" not in _plan(found)
+    assert {r.k for r in found.collect()} == {f"https://jobs.example/{n}" for n in range(5)}
+
+
 def test_roles_are_broadcast_behind_a_count_only(spark, monkeypatch):
     rows = [(n, f"https://jobs.example/{n}", f"Data Engineer {n}", "Acme", ["x"]) for n in range(30)]
     shown = spark.createDataFrame(rows, "seq long, url string, title string, company string, tags array<string>")
