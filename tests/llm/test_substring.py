@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from postmill.llm import substring
+from postmill.llm import common, substring
 from postmill.llm.common import LAST_ID as substring_last
 
 
@@ -60,3 +61,12 @@ def test_against_all_windows(spark, monkeypatch, most):
 
 def test_empty(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shuffles_end_with_the_table_they_made(spark):
+    """Shuffle files of written tables lay on disk until the driver collected garbage: four times the input at once."""
+    held = lambda: spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    before, set_ = held(), spark.conf.get(common.FREE_SHUFFLES, None)
+    assert common.table(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "sevenths").count() == 7
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == set_
+    assert held() <= before + 1  # the count's own
