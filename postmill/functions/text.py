@@ -91,10 +91,14 @@ def find_experience(text: Column, low: Column | None = None) -> Column:
     return F.array_compact(F.array_sort(F.array_distinct(F.transform(matches(text, fixed.EXPERIENCE, 1, low), lambda x: x.try_cast("int")))))
 
 
+#: What every alternative of the salary patterns begins with: at other places none of them is tried.
+SALARY_START = r"(?=[₹ri\d.€$£])"
+
+
 def extract_salary(text: Column, low: Column | None = None) -> Column:
     """Salary figures as written, with a pay period that follows; unlike ones only, the first SALARY_HITS by code point."""
-    long = F.transform(matches(text, f"(?:{fixed.SALARY})(?:\\s*{fixed.PERIOD})?", 0, low), lambda m: _joined(m))
-    short = F.transform(matches(text, fixed.SHORT_SALARY, 0, low), strip)
+    long = F.transform(matches(text, f"{SALARY_START}(?:{fixed.SALARY})(?:\\s*{fixed.PERIOD})?", 0, low), lambda m: _joined(m))
+    short = F.transform(matches(text, f"{SALARY_START}(?:{fixed.SHORT_SALARY})", 0, low), strip)
     squeezed = lambda h: F.regexp_replace(h, r"(?U)\s+", "")
 
     def firsts(hits: Column) -> Column:

@@ -38,9 +38,19 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_postings(postings(spark, sf_dir), PROFILE, as_of())
 
 
-def enriched_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enriched postings without their bodies, written once: linking, ranking and history read them several times."""
-    return materialise(enriched(spark, sf_dir).drop("full_text", "text1", "text2", "sections", "requirements", "responsibilities", "nice_to_have", "other_possibly_relevant"), "enriched")
+def enriched_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """These columns of the enriched postings, written once: linking, ranking and history read them several times. What other columns need isn't computed."""
+    return materialise(enriched(spark, sf_dir).select(*columns), "enriched")
+
+
+def kept(spark: SparkSession, sf_dir: str, condition: F.Column) -> DataFrame:
+    """seq of the enriched postings for which a condition holds. It is written as a column first: a filter would be pushed below the enrichment, and each column that it
+    names, with all that this one comes from, be computed anew wherever it is named."""
+    return materialise(enriched(spark, sf_dir).select("seq", condition.alias("kept")), "kept").where("kept").select("seq")
+
+
+#: What duplicates of results are told by.
+KEYED = ["seq", "title", "company", "score", "error"]
 
 
 def joined(c, by: str = " | ") -> F.Column:
@@ -230,7 +240,7 @@ on_postings("g1_normalize_names", {"company_key": lambda: text.normalize_company
 
 @query("g2_dedupe_results", f"{CHAIN} SELECT seq, score FROM k QUALIFY failed OR company_key = '' OR title_key = '' OR row_number() OVER (PARTITION BY failed, company_key, title_key ORDER BY coalesce(score, -1) DESC, seq) = 1")
 def _(spark, sf_dir):
-    return dedupe.dedupe_results(enriched_table(spark, sf_dir)).select("seq", "score")
+    return dedupe.dedupe_results(enriched_table(spark, sf_dir, *KEYED)).select("seq", "score")
 
 
 _WHOLE = " || ' ' || ".join(f"substr(text{k}, 1, 2000) || CASE WHEN {_bucket(k)} <> 'none' THEN ' ' || text{k} ELSE '' END" for k in (1, 2))
@@ -283,7 +293,7 @@ def _(spark, sf_dir):
 
 @query("g4_fuzzy_dedupe")
 def _(spark, sf_dir):
-    return dedupe.fuzzy_dedupe(enriched_table(spark, sf_dir)).select("seq", "url", F.size("merged_urls").alias("n_merged"), F.array_join("merged_urls", " ").alias("merged_urls"))
+    return dedupe.fuzzy_dedupe(enriched_table(spark, sf_dir, *KEYED, "url")).select("seq", "url", F.size("merged_urls").alias("n_merged"), F.array_join("merged_urls", " ").alias("merged_urls"))
 
 
 # --- filters ---
@@ -292,7 +302,7 @@ def _(spark, sf_dir):
 def on_filter(name: str, condition: str, **given):
     @query(name, f"{CHAIN} SELECT seq FROM k WHERE failed OR ({condition})")
     def _(spark, sf_dir):
-        return enriched(spark, sf_dir).where(filters.posting_filter(**given)).select("seq")
+        return kept(spark, sf_dir, filters.posting_filter(**given))
 
 
 on_filter("h1_location", "contains(lower(coalesce(location, '')), 'berlin')", location="Berlin")
@@ -310,7 +320,7 @@ on_filter("h8_max_age", "age_days IS NULL OR age_days <= 30", max_age=30)
 
 @query("h9_min_score", f"{CHAIN} SELECT seq FROM k WHERE failed OR score >= 50")
 def _(spark, sf_dir):
-    return enriched(spark, sf_dir).where(filters.min_score(50)).select("seq")
+    return kept(spark, sf_dir, filters.min_score(50))
 
 
 @query("h10_check_tracker", f"""WITH p AS (SELECT seq, url, {canon('lower(url)')} AS k FROM ({oracle.POSTINGS})), t AS (SELECT 'applied to <' || lower(url) || '> on monday' AS line, k FROM p WHERE seq % 50 = 3),
@@ -370,7 +380,7 @@ _HIST = f"{CHAIN}, h1 AS (SELECT url, max_by(seq, rank) AS seq, count(*) AS n FR
 
 
 def history(spark, sf_dir) -> DataFrame:
-    ranked = report.rank_postings(enriched_table(spark, sf_dir))
+    ranked = report.rank_postings(enriched_table(spark, sf_dir, "url", "seq", "score", "title", "is_live"))
     run = materialise(ranked.select("url", "rank", "seq", "score", "title", F.col("is_live").cast("int").alias("live")), "run")
     empty = spark.createDataFrame([], "url string, rank long, seq long, score int, title string, live int, first_seen timestamp, last_seen timestamp, scrape_count long")
     runs = kept_runs(spark, "history", "url")
@@ -435,7 +445,7 @@ def _(spark, sf_dir):
 
 @query("j4_rank_postings", f"{CHAIN} SELECT rank, seq, title, company, score FROM (SELECT *, row_number() OVER (ORDER BY coalesce(score, -1) DESC, seq) AS rank FROM (SELECT * EXCLUDE (rank) FROM k QUALIFY failed OR company_key = '' OR title_key = '' OR row_number() OVER (PARTITION BY failed, company_key, title_key ORDER BY coalesce(score, -1) DESC, seq) = 1))")
 def _(spark, sf_dir):
-    return report.rank_postings(materialise(dedupe.dedupe_results(enriched_table(spark, sf_dir)).select("seq", "title", "company", "score"), "distinct")).select("rank", "seq", "title", "company", "score")
+    return report.rank_postings(materialise(dedupe.dedupe_results(enriched_table(spark, sf_dir, *KEYED)).select("seq", "title", "company", "score"), "distinct")).select("rank", "seq", "title", "company", "score")
 
 
 _ATTEMPTS = f"WITH p AS ({oracle.POSTINGS}), t AS (SELECT {board('url')} AS source, count(*) AS attempted, CAST(sum(seq % 100) AS BIGINT) AS duration_ms FROM p GROUP BY 1), r AS (SELECT {board('url')} AS source, error FROM p WHERE seq % 5 <> 0)"

@@ -277,7 +277,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The records that the JSON-lines sink writes, written and read back."""
     path = shared_path(spark, "jsonl")
-    report.write_jsonl(report.rank_postings(enriched_table(spark, sf_dir)).select("rank", "seq", "score", "title"), path)
+    report.write_jsonl(report.rank_postings(enriched_table(spark, sf_dir, "seq", "score", "title")).select("rank", "seq", "score", "title"), path)
     return spark.read.schema("rank long, seq long, score int").json(path)
 
 
