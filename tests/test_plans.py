@@ -19,3 +19,11 @@ def test_a_filter_is_not_pushed_below_the_enrichment(spark, name):
 
 def test_only_wanted_columns_are_enriched(spark):
     assert catalog.enriched_table(spark, SF, "seq", "score").columns == ["seq", "score"]
+
+
+@pytest.mark.parametrize("name", ["a13_cards_hn", "a21_cards_to_postings"])
+def test_blobs_are_parsed_once(spark, name):
+    """Before, a filter on the text stood below it with a copy of it: each task parsed all blobs twice, in two workers."""
+    from postmill.plans import sources_catalog  # noqa: F401  registers them
+
+    assert plan(catalog.QUERIES[name](spark, SF)).count("ArrowEvalPython") == 1
