@@ -479,8 +479,7 @@ SELECT (SELECT count(*) FROM run) AS before, count(*) AS after, count_if(failed)
 (SELECT count_if(old.key IS NULL AND wn.first_seq IS NOT NULL) FROM wn LEFT JOIN old ON old.key = wn.key) AS new, (SELECT count_if(wn.key IS NULL AND closed_since IS NULL) FROM old LEFT JOIN wn ON wn.key = old.key) AS closed FROM kept""")
 def _(spark, sf_dir):
     full = enriched(spark, sf_dir)
-    full = full.withColumn("fingerprint", dedupe.content_fingerprint(full)).drop("full_text", "text1", "text2", "sections", "requirements", "responsibilities", "nice_to_have", "other_possibly_relevant")
-    rows = materialise(full, "enriched").where("seq % 3 <> 1")
+    rows = materialise(full.withColumn("fingerprint", dedupe.content_fingerprint(full)).select(*KEYED, "url", "location", "fingerprint"), "enriched").where("seq % 3 <> 1")
     kept = dedupe.mark_reposts(rows.where(filters.posting_filter(location="berlin") | filters.min_score(40)))
     flagged, closed, _ = state.apply_watch(kept, _watch_before(spark, sf_dir), TODAY)
     return report.run_counters(rows, flagged, closed)

@@ -27,12 +27,12 @@ class Run(NamedTuple):
     sources: DataFrame | None
 
 
-def enriched_once(postings: DataFrame, profile: dict | None, as_of: Column, fingerprints: bool = True) -> DataFrame:
-    """Enriched postings, written without bodies, as the steps of a flow read them several times; with their fingerprint if wanted."""
+def enriched_once(postings: DataFrame, profile: dict | None, as_of: Column, fingerprints: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """Enriched postings, written without bodies, as the steps of a flow read them several times; with their fingerprint if wanted. columns: those that are wanted, if not all; what only others need isn't computed."""
     full = enrich.enrich_postings(postings, profile, as_of)
     if fingerprints:
         full = full.withColumn("fingerprint", dedupe.content_fingerprint(full))
-    return materialise(full.drop(*BODIES), "enriched")
+    return materialise(full.select(*columns) if columns else full.drop(*BODIES), "enriched")
 
 
 def run_flow(

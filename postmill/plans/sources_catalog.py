@@ -297,7 +297,7 @@ FROM run JOIN m ON m.key = run.key LEFT JOIN hist ON hist.fingerprint = run.fing
 def _(spark, sf_dir):
     """The flow with all steps on but the fuzzy one, which SQL cannot express; its state, history, statistics and counters are queries of their own."""
     raw = postings(spark, sf_dir)
-    full = enriched_once(raw, PROFILE, as_of())
+    full = enriched_once(raw, PROFILE, as_of(), columns=[*catalog.KEYED, "url", "location", "age_days", "is_live", "fingerprint"])
     old = full.where("seq % 4 = 1").select("url", F.lit(1).cast("long").alias("rank"), "seq", "score", "title", F.lit(0).alias("live"), "fingerprint", F.lit("2024-05-01").cast("timestamp").alias("first_seen"), F.lit("2024-05-01").cast("timestamp").alias("last_seen"), F.lit(1).cast("long").alias("scrape_count"))
     tracker = raw.where("seq % 50 = 3").select(F.concat(F.lit("<"), "url", F.lit(">")).alias("line"))
     roles = cards_of.role_sweep(catalog.card_rows(spark, sf_dir), catalog.role_rows(spark))[0]
