@@ -1,6 +1,7 @@
 """Near copies: rows whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, all of them, and what these link.
 
-SimHash fingerprints can't find these pairs (they lie up to 20 of 64 bits apart), so the pigeonhole blocks are cut from the sets themselves. Sets of
+SimHash comes first: the fingerprints of op1 are linked at two bits by op1's pigeonhole blocks, and each link is checked set by set. Most pairs at 0.8 lie further apart
+(up to 20 of 64 bits), so an exact pass over what SimHash leaves unlinked follows, with pigeonhole blocks that are cut from the sets themselves. Sets of
 a and b shingles at 0.8 differ in at most (a + b) / 9 of them. Sizes fall into bands of a quarter's growth; a band and the next form a group, whose
 pairs differ in at most k places, so of k + 1 blocks (shingles are dealt to blocks by hash) one holds the same shingles in both. Blocks that are empty in both don't count: there are
 some blocks more than k + 1, and a set with more empty ones than that is dealt again by another hash, until it has few enough. Of each pair, one set's
@@ -12,7 +13,8 @@ more bits than the sets do in shingles), then set by set.
 
 Of blocks with the same members (their number, least and greatest row and a 64-bit hash of all) one is kept.
 A block that more than two rows share isn't joined pairwise at once: its members are compared with one of them, first the one
-with most shared blocks, then any other, which links a large group of near copies in linear work. Only pairs that no link joins by then are compared one by one.
+with most shared blocks, then any other, which links a large group of near copies in linear work. Rows of blocks that are open by then meet by their rarest
+shingles, of which similar sets have one in common among the first fifth and one: what many unlike texts share is among these only where it is most of a text.
 
 Nulls: a null text has no shingles, and equal sets are linked. A row with a null doc_id is linked to nothing, as in op1. A row is
 known by its id and the digest of its text; rows equal in both stay or go together.
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_batch, components, discard, few, table, texts
+from . import simhash
+from .common import BROADCAST_ROWS, by_batch, components, discard, few, freed_shuffles, table, texts
 from .substring import rolling_hashes
 
 WORDS, SAMPLE, FREQUENT, ROUNDS = 5, 16, 20_000, 3
@@ -103,16 +106,17 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, place: str) -> DataFrame:
-    """(row, doc_id, digest, same, n, keys) of docs (doc_id, digest, text), written: same is a digest of the set, keys are its blocks."""
+    """(row, doc_id, digest, same, n, fp, keys) of docs (doc_id, digest, text), written: same is a digest of the set, fp op1's fingerprint, keys are the set's blocks."""
     frequent = _frequent(docs)
 
     def run(batch):
         found = [shingles(t) for t in texts(batch.column(3))]
+        fps = np.array([simhash.fingerprint(t) for t in texts(batch.column(3))], np.uint64)
         same = pa.array([hashlib.sha256(x.tobytes()).digest() for x in found], pa.binary())
-        return pa.record_batch([*batch.columns[:3], same, pa.array([len(x) for x in found], pa.int32()), _lists([blocks(x, frequent) for x in found])], names=["row", "doc_id", "digest", "same", "n", "keys"])
+        return pa.record_batch([*batch.columns[:3], same, pa.array([len(x) for x in found], pa.int32()), pa.array(fps.view(np.int64)), _lists([blocks(x, frequent) for x in found])], names=["row", "doc_id", "digest", "same", "n", "fp", "keys"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest", "text")
-    return table(by_batch(rows, run, "row long, doc_id long, digest binary, same binary, n int, keys array<long>"), f"{place}/blocks")
+    return table(by_batch(rows, run, "row long, doc_id long, digest binary, same binary, n int, fp long, keys array<long>"), f"{place}/blocks")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, place: str) -> DataFrame:
@@ -159,12 +163,34 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _by_fingerprint(once: DataFrame, place: str) -> DataFrame:
+    """Pairs (a, b) of rows of once (row, fp, ...) whose SimHash fingerprints are equal or linked at two bits, written; of rows with equal fingerprints the least stands for all."""
+    prints = table(once.select("row", "fp"), f"{place}/prints")
+    nodes = table(prints.groupBy("fp").agg(F.min("row").alias("node")), f"{place}/nodes")
+    equal = prints.join(nodes, "fp").where("row <> node").select(*_ordered("row", "node"))
+    return table(equal.unionByName(simhash.links(nodes).select(*_ordered("a", "b"))).distinct(), f"{place}/near")
+
+
+def _by_rarest(rows: DataFrame, sets: DataFrame, place: str) -> DataFrame:
+    """Pairs (a, b) of rows (row, part), a written table, of unlike part, all that are at 0.8 and others that share a rare shingle. Of sets in one order of shingles the first n // 5 + 1 have one in
+    common, and of the first common one on each has as many as they must share. The order is by the number of these rows that hold a shingle, rarest first."""
+    flat = table(sets.join(rows, "row").select("row", "n", "part", F.explode("hashes").alias("h")), f"{place}/flat")
+    often = table(flat.groupBy("h").agg(F.count("*").alias("often")).where("often > 1"), f"{place}/often")
+    held = flat.join(often, "h").groupBy("row").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct("often", "h"))).alias("held"))
+    # shingles that no other row holds come before all others
+    rare = held.withColumn("alone", F.col("n") - F.size("held")).select("row", "n", "part", "alone", F.posexplode(F.slice("held", F.lit(1), F.greatest(F.lit(0), F.expr("n DIV 5 + 1 - alone").cast("int")))).alias("at", "x"))
+    rare = table(rare.select("row", "n", "part", "x.h", (F.col("n") - F.col("alone") - F.col("at")).alias("ahead")), f"{place}/rare")
+    side = lambda node: rare.select("h", F.col("row").alias(node), F.col("n").alias(f"n{node}"), F.col("part").alias(f"part{node}"), F.col("ahead").alias(f"ahead{node}"))
+    return side("a").join(side("b"), "h").where("a < b AND parta <> partb").where(_alike("na", "nb")).where("9 * least(aheada, aheadb) >= 4 * (na + nb)").select("a", "b")
+
+
 def links(docs: DataFrame, keyed: DataFrame, place: str, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) between rows of keyed; what is similar is connected by them, and nothing else. place: a folder for tables, in the shared one."""
     spark = keyed.sparkSession
     twins = table(keyed.groupBy("same").agg(F.min("row").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{place}/twins")
     twins = table(keyed.select("row", "same").join(few(twins, BROADCAST_ROWS // 4), "same").where("row <> b").select(F.col("row").alias("a"), "b"), f"{place}/equal")
     once = keyed.join(few(twins.select(F.col("a").alias("row")), BROADCAST_ROWS), "row", "left_anti")
+    near = _by_fingerprint(once, f"{place}/first")
     flat = once.select(F.explode("keys").alias("key"), "row", "n")
     shared = table(flat.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), f"{place}/first/shared")
     every = table(flat.join(shared, "key"), f"{place}/first/every")
@@ -175,11 +201,14 @@ def links(docs: DataFrame, keyed: DataFrame, place: str, rounds: int = ROUNDS) -
     weight = table(plain.groupBy("row").agg(F.count("*").alias("weight")), f"{place}/first/weights")
     members = table(plain.join(weight, "row"), f"{place}/members")
     sets = _sets(docs, table(weight.select("row").join(keyed.select("row", "doc_id", "digest"), "row"), f"{place}/first/wanted"), place)
+    # a row without a shared block is like no other, and has no set here
+    fast = _verified(near, sets, f"{place}/first/fast", f"{place}/first/simhash")
     # compared with the member that shares most blocks with others
     pivot = table(members.groupBy("key").agg(F.max_by(F.struct("row", "n"), F.struct("weight", "row")).alias("p")), f"{place}/first/pivots")
     pairs = members.join(pivot, "key").where("row <> p.row").where(_alike("n", "p.n")).select("row", F.col("p.row").alias("other")).select(*_ordered("row", "other"))
-    pairs = table(pairs.distinct(), f"{place}/compared")
-    compared, found = pairs, _verified(pairs, sets, f"{place}/first", f"{place}/found")
+    pairs = table(pairs.distinct().join(near, ["a", "b"], "left_anti"), f"{place}/first/pairs")
+    found = table(fast.unionByName(_verified(pairs, sets, f"{place}/first", f"{place}/first/similar")), f"{place}/found")
+    compared = table(near.unionByName(pairs), f"{place}/compared")
     discard(spark, f"{place}/first")
     parts, idle = components(found), False
     for k in range(rounds + 1):
@@ -194,8 +223,7 @@ def links(docs: DataFrame, keyed: DataFrame, place: str, rounds: int = ROUNDS) -
         every = k == rounds or idle or size.pairs <= AT_ONCE * size.rows
         named = table(named.join(few(left.select("key"), BROADCAST_ROWS), "key"), f"{own}/named")
         if every:
-            side = lambda node: named.select("key", F.col("row").alias(node), F.col("n").alias(f"n{node}"), F.col("part").alias(f"part{node}"))  # noqa: E731, B023
-            pairs = side("a").join(side("b"), "key").where("a < b AND parta <> partb").where(_alike("na", "nb")).select("a", "b")
+            pairs = _by_rarest(table(named.select("row", "part").distinct(), f"{own}/rows"), sets, own)
         else:
             pivot = table(named.groupBy("key").agg(F.max_by(F.struct("row", "n", "part"), F.struct(F.xxhash64(F.lit(k), "row"), "row")).alias("p")), f"{own}/pivots")
             pairs = named.join(few(pivot, BROADCAST_ROWS // 4), "key").where("part <> p.part").where(_alike("n", "p.n")).select("row", F.col("p.row").alias("other")).select(*_ordered("row", "other"))
@@ -219,12 +247,13 @@ def _with_digest(docs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, digest) of the rows of docs (doc_id, text, ...) that go: all of a linked group but the least by id, then digest. Written; the tables on the way are deleted."""
     known, place = _with_digest(docs), f"near-{uuid.uuid4().hex}"
-    keyed = _keyed(known, place)
-    named = components(links(known, keyed, place, rounds)).withColumnRenamed("node", "row")
-    own = F.struct("doc_id", "digest")
-    groups = table(keyed.select("row", "doc_id", "digest").join(few(table(named, f"{place}/components"), BROADCAST_ROWS), "row"), f"{place}/groups")
-    least = table(groups.groupBy("component").agg(F.min(own).alias("stays")), f"{place}/stay")
-    gone = table(groups.join(least, "component").where(own != F.col("stays")).select("doc_id", "digest").distinct(), "near-copies")
+    with freed_shuffles(docs.sparkSession):
+        keyed = _keyed(known, place)
+        named = components(links(known, keyed, place, rounds)).withColumnRenamed("node", "row")
+        own = F.struct("doc_id", "digest")
+        groups = table(keyed.select("row", "doc_id", "digest").join(few(table(named, f"{place}/components"), BROADCAST_ROWS), "row"), f"{place}/groups")
+        least = table(groups.groupBy("component").agg(F.min(own).alias("stays")), f"{place}/stay")
+        gone = table(groups.join(least, "component").where(own != F.col("stays")).select("doc_id", "digest").distinct(), "near-copies")
     discard(docs.sparkSession, place)
     return gone
 

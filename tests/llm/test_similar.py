@@ -94,3 +94,38 @@ def test_null_and_repeated_ids(spark):
     got = sorted((str(r.doc_id), str(r.text)) for r in out)
     assert [g for g in got if g[0] != "9"] == sorted((str(d), str(t)) for d, t in rows if d != 9)
     assert len([g for g in got if g[0] == "9"]) == 1 and all(t in ("", "None") for d, t in got if d == "9")
+
+
+def spied(monkeypatch, name):
+    """Rows of the tables that end in this name, as they are written."""
+    seen, own = [], similar.table
+
+    def table(df, path):
+        out = own(df, path)
+        if path.endswith(name):
+            seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(similar, "table", table)
+    return seen
+
+
+def test_simhash_links_what_its_fingerprints_find(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [[f"w{rng.randrange(3000)}" for _ in range(600)] for _ in range(20)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:300], "other", *w[301:]]) for w in words]
+    fps, of = [similar.simhash.fingerprint(t.encode()) for t in texts], [sets(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2 and 5 * len(of[i] & of[j]) >= 4 * len(of[i] | of[j])}
+    linked = spied(monkeypatch, "/simhash")
+    gone = similar.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert want and {(r.a, r.b) for r in linked} == want
+    assert {r.doc_id for r in gone} == set(range(20, 40))
+
+
+def test_a_common_passage_makes_no_square_of_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(14)) for _ in range(300)]
+    compared = spied(monkeypatch, "/candidates")
+    assert similar.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0).collect() == []
+    assert len(compared) < len(texts)
