@@ -184,6 +184,11 @@ def _by_rarest(rows: DataFrame, sets: DataFrame, place: str) -> DataFrame:
     return side("a").join(side("b"), "h").where("a < b AND parta <> partb").where(_alike("na", "nb")).where("9 * least(aheada, aheadb) >= 4 * (na + nb)").select("a", "b")
 
 
+def _stars(parts: DataFrame) -> DataFrame:
+    """Edges (a, b) from each row to the least one of its component, of parts (node, component)."""
+    return parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def links(docs: DataFrame, keyed: DataFrame, place: str, rounds: int = ROUNDS) -> DataFrame:
     """Edges (a, b) between rows of keyed; what is similar is connected by them, and nothing else. place: a folder for tables, in the shared one."""
     spark = keyed.sparkSession
@@ -207,10 +212,10 @@ def links(docs: DataFrame, keyed: DataFrame, place: str, rounds: int = ROUNDS) -
     pivot = table(members.groupBy("key").agg(F.max_by(F.struct("row", "n"), F.struct("weight", "row")).alias("p")), f"{place}/first/pivots")
     pairs = members.join(pivot, "key").where("row <> p.row").where(_alike("n", "p.n")).select("row", F.col("p.row").alias("other")).select(*_ordered("row", "other"))
     pairs = table(pairs.distinct().join(near, ["a", "b"], "left_anti"), f"{place}/first/pairs")
-    found = table(fast.unionByName(_verified(pairs, sets, f"{place}/first", f"{place}/first/similar")), f"{place}/found")
+    parts = components(fast.unionByName(_verified(pairs, sets, f"{place}/first", f"{place}/first/similar")))
     compared = table(near.unionByName(pairs), f"{place}/compared")
     discard(spark, f"{place}/first")
-    parts, idle = components(found), False
+    fresh, idle = None, False
     for k in range(rounds + 1):
         own = f"{place}/round-{k}"
         named = table(members.where("members > 2").select("key", "row", "n").join(parts.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", F.coalesce("component", "row").alias("part")), f"{own}/parts")
@@ -230,14 +235,15 @@ def links(docs: DataFrame, keyed: DataFrame, place: str, rounds: int = ROUNDS) -
         pairs = table(pairs.distinct().join(compared, ["a", "b"], "left_anti"), f"{own}/candidates")
         fresh = _verified(pairs, sets, own, f"{own}/similar")
         idle = fresh.isEmpty()
-        if not idle:
-            found = table(found.unionByName(fresh), f"{place}/found")
         if every:
             break
-        parts = parts if idle else components(found)
+        parts, fresh = parts if idle else components(_stars(parts).unionByName(fresh)), None
         compared = table(compared.unionByName(pairs), f"{place}/compared")
         discard(spark, own)
-    return twins.unionByName(found)
+    # what is connected already is returned as stars, equal sets with their own, so that the caller has no rounds to make unless the last comparison brought links
+    equal = twins.join(parts.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
+    stars = equal.unionByName(_stars(parts))
+    return stars if fresh is None or idle else stars.unionByName(fresh)
 
 
 def _with_digest(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from postmill.llm import similar
+from postmill.llm import common, similar
 
 
 def sets(text):
@@ -129,3 +129,33 @@ def test_a_common_passage_makes_no_square_of_pairs(spark, monkeypatch):
     compared = spied(monkeypatch, "/candidates")
     assert similar.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0).collect() == []
     assert len(compared) < len(texts)
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("components", "")
+        parts = common.components(edges)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert {tuple(r) for r in parts.collect()} == {(i, 0) for i in range(13)}
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+        # 3,404 tasks with edges in checkpoints and unions
+        assert sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks) < 3000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_links_of_connected_rows_are_stars(spark):
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join([*(f"x{k}" for k in range(at)), *words[at:]]) for at in range(0, 24, 3)]  # each like the next one, the ends unlike
+    docs = similar._with_digest(spark.createDataFrame(list(enumerate(chain + chain[:3])), "doc_id long, text string"))
+    with common.freed_shuffles(spark):
+        edges = common.table(similar.links(docs, similar._keyed(docs, "stars"), "stars"), "stars/edges")
+    assert edges.count() == 10 and common._are_stars(edges)
