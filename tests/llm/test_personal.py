@@ -133,3 +133,15 @@ def test_planted_in_real_documents(spark):
     assert all(len(v) > 60 and sum(v) >= 0.9 * len(v) for v in share.values()), share
     assert len(hit) <= 0.02 * len(decoys)
     assert sum(len(v) for d, v in got.items() if d not in planted) <= 0.01 * len(docs)
+
+
+def test_every_span_and_proposal_is_a_label(spark):
+    """Before, four spans of a document and kind, 2,000 of a kind, none of over 80 characters, and 20,000 bad proposals made the labels."""
+    hosts = lambda n: " and ".join(f"10.0.{i % 250}.7" for i in range(n))
+    failing = " and ".join(["4111-1111-1111-1112"] * 70)
+    docs = [(0, hosts(9)), (1, "host 10.0.0." + "0" * 90 + "1 end"), *((i, hosts(7)) for i in range(2, 302)), *((i, failing) for i in range(400, 700))]
+    extracted = personal.extract(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert [r[0] for r in extracted.selectExpr("size(snips)").where("doc_id < 2").orderBy("doc_id").collect()] == [9, 1]
+    got = personal.made_up(extracted).where("good").groupBy("kind").count().collect()
+    assert [(r.kind, r[1]) for r in got] == [(1, 6 * (9 + 7 * 300))]  # the long one has forms, but no generator proposes these
+    assert personal.labels(extracted).where("chance").count() == 70 * 300
