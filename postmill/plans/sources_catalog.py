@@ -225,7 +225,7 @@ _PIECE = f"CASE WHEN regexp_matches(x, '^<script', 'i') THEN regexp_extract(x, '
 
 @query("d1_html_text", f"SELECT page_id, sha256(array_to_string(list_filter(list_transform(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script\\s*>|<!--.*?-->|<[^>]*>|[^<]+'), lambda x: {_PIECE}), lambda x: regexp_replace(x, '^[\\s]+|[\\s]+$', '', 'g')), lambda x: x <> ''), ' ')) AS text_sha256 FROM pages")
 def _(spark, sf_dir):
-    return apart(spread(table(spark, sf_dir, "pages")), "html").select("page_id", F.sha2(html.text_of(F.col("html"), F.lit(" ")), 256).alias("text_sha256"))
+    return apart(spread(table(spark, sf_dir, "pages")), "html").select("page_id", F.sha2(html.text_of(F.col("html"), F.lit(" "), page=True), 256).alias("text_sha256"))
 
 
 @query("d2_parse_description", f"{P} SELECT seq, heading1 AS heading, CASE WHEN length({_LINE}) <= 2000 THEN {_LINE} ELSE '' END AS section, trim(heading1 || ' ' || {_LINE}) AS text FROM p")

@@ -60,6 +60,23 @@ def test_sections():
     assert html.parse("<div>" * 5000 + "deep").line() == "deep" and html.split_sections(html.parse(None)) == []
 
 
+def test_references_without_semicolon(spark, tmp_path):
+    """Before, a title that was cut within `&amp;` lost the rest of the reference, unlike in the query's SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    blob = "<title>x &amp;&amp</title><style>a>b{c:'&amp;'}</style><h1>x &amp;&quot</h1><script>if (a &amp b && c &copy) {}</script><p>&copy; y &middot; &quo</p><b>&lt;z&gt; &am &</b>"
+    assert html.parse(blob.replace("&quo<", "&#39; &notit; &nope; &#x41<")).line({"script", "style"}) == 'x &&amp x &&quot © y · \' &notit; &nope; A <z> &am &'
+    assert html.parse("a &amp b &lt;c", page=False).line() == "a & b <c"
+    rows = [(1, "u", blob.replace("<style>a>b{c:'&amp;'}</style>", "")), (2, "u", "<p>a</p>&amp"), (3, "u", "&quot")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = __spark_entry__.queries()["d1_html_text"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.sql(__spark_entry__.oracle_sql()["d1_html_text"]).fetchall())
+
+
 def test_pages(spark):
     ld = {"@type": "JobPosting", "title": "T", "hiringOrganization": {"name": "O"}, "jobLocation": [{"address": {"addressLocality": "L"}}], "description": "<p>" + "word " * 100 + "</p>", "employmentType": ["FULL_TIME", "CONTRACTOR"]}
     pages = [(1, "u", f"<title>x</title><script type='application/ld+json'>[{json.dumps(ld)}]</script>" + "body " * 100), (2, "u", "<title>only</title><p>thin</p>"), (3, "u", "<nav>menu</nav><h1>Job</h1><p>" + "text " * 100 + "</p><footer>f</footer>"), (4, "u", None)]
