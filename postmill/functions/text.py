@@ -115,6 +115,10 @@ def _joined(hit: Column) -> Column:
     return strip(F.concat(figure, F.when(period.startswith("/") | (period == ""), "").otherwise(" "), period))
 
 
+#: The largest double that a long holds: a figure above it would fail the whole query.
+LARGEST = float(2**63 - 1024)
+
+
 def normalize_salary(hits: Column) -> Column:
     """(raw, currency, min_annual, max_annual) of the hits that parse."""
 
@@ -129,7 +133,7 @@ def normalize_salary(hits: Column) -> Column:
         found = F.lit(None).cast("struct<raw:string,currency:string,min_annual:bigint,max_annual:bigint>")
         for currency, span, single, times in reversed(fixed.SALARY_SPECS):
             lo, hi, one = number(first_match(hit, span, 1)), number(first_match(hit, span, 2)), number(first_match(hit, single, 1))
-            cut = lambda v, t=times: (v * scale * t).cast("bigint")
+            cut = lambda v, t=times: F.least(v * scale * t, F.lit(LARGEST)).cast("bigint")
             entry = lambda a, b, c=currency: F.struct(hit.alias("raw"), F.lit(c).alias("currency"), a.alias("min_annual"), b.alias("max_annual"))
             found = F.when(lo.isNotNull() & hi.isNotNull(), entry(cut(F.least(lo, hi)), cut(F.greatest(lo, hi)))).when(one.isNotNull(), entry(cut(one), cut(one))).otherwise(found)
         return found

@@ -70,6 +70,23 @@ def test_salary(spark):
     assert [(g[0].currency, g[0].min_annual, g[0].max_annual) if g else (None, None, None) for g in got] == [r[1:] for r in rows]
 
 
+def test_figures_beyond_a_long(spark):
+    """Before, one such figure in a body failed the query (CAST_OVERFLOW)."""
+    rows = ["$ 99999999999999999999", "₹" + "9" * 400, "25000000000000000000 LPA", "$ 1142126282388588"]
+    got = one(spark, text.normalize_salary(F.array("t")), [(r,) for r in rows], "t string")
+    assert [(g[0].currency, g[0].max_annual) for g in got] == [("USD", 2**63 - 1024), ("INR", 2**63 - 1024), ("INR", 2**63 - 1024), ("USD", 1142126282388588)]
+
+
+def test_salary_filters_read_bodies(spark, tmp_path):
+    """A figure in a body counts like one in a phrase; before, one of twenty digits failed both queries."""
+    from postmill.plans import catalog
+
+    bodies = {5: "none", 13: "$ 170 a head", 15: "$ 99999999999999999999", 21: "$ 105,000", 23: "none"}  # ids of the phrase without salary (5, 13, 21) and with $90,000 and $95,000
+    spark.createDataFrame([(k, v, "en", "s", len(v)) for k, v in bodies.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = lambda name: sorted(r.seq for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    assert kept("h6_salary") == [5, 15, 21] and kept("h6_salary_max") == [5, 13, 15, 21, 23]
+
+
 AGE = [
     ("today", 0), ("Just posted", 0), ("yesterday", 1), ("3 days ago", 3), ("2 weeks ago", 14), ("30 minutes ago", 0), ("1 month ago", 30), ("2024-06-14", 1), ("2024-06-15T13:00:00Z", -1), ("2024-06-14T12:00:01Z", 0), ("2024-06-14T12:00:00.5+02:00", 1),
     ("14 Jun 2024", 1), ("Jun 14, 2024", 1), ("2024/06/14", 1), ("open since 2024-06-01, apply", 14), ("1718000000000", None), ("Tue, 11 Jun 2024 10:00:00 +0000", None), ("2024-13-45", None), ("", None), (None, None),
